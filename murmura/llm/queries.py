@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmura.llm import visible
-from murmura.session import table
+from murmura.llm import personal, visible
+from murmura.session import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +19,18 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", visible.canonical_column(items["text"]).alias("text_form"), visible.canonical_column(items["author_name"]).alias("author_form"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, field_name and pii_type of every field that holds that type of personal data."""
+    found = personal.field_types(spread(table(spark, sf_dir, "items").select("item_id", "text", "author_name", "image_text")))
+    return found.where(found["pii_type"].isin("email", "phone", "id_number", "address", "name"))
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id with text, author name and image text, personal data replaced by typed placeholders."""
+    items = spread(table(spark, sf_dir, "items").select("item_id", "text", "author_name", "image_text"))
+    kinds = {"text": personal.TYPES, "author_name": personal.NAME_FIELD_TYPES, "image_text": personal.TYPES}
+    return items.select("item_id", *[personal.redacted_column(items[f], t)["text"].alias(f) for f, t in kinds.items()])
+
+
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_redacted": p7_redacted}
 SQL: dict[str, str] = {}
