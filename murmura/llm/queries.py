@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from murmura.llm import personal, visible
+from murmura.llm import language, personal, visible
 from murmura.session import spread, table
 
 
@@ -19,6 +20,19 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", visible.canonical_column(items["text"]).alias("text_form"), visible.canonical_column(items["author_name"]).alias("author_form"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id and language: wrongly or not labelled items, and each language of items that mix several."""
+    items = table(spark, sf_dir, "items").select("item_id", "text", "language")
+    return language.relabelled(spread(items), language.fit(items))
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id with position, language, confidence and text of each segment in one language."""
+    items = table(spark, sf_dir, "items").select("item_id", "text", "language")
+    segments = language.segments_column(items["text"], language.fit(items))
+    return spread(items).select("item_id", F.posexplode(segments).alias("position", "s")).select("item_id", "position", "s.*")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, field_name and pii_type of every field that holds that type of personal data."""
     found = personal.field_types(spread(table(spark, sf_dir, "items").select("item_id", "text", "author_name", "image_text")))
@@ -32,5 +46,5 @@ def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", *[personal.redacted_column(items[f], t)["text"].alias(f) for f, t in kinds.items()])
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p7_found": p7_found, "p7_redacted": p7_redacted}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted}
 SQL: dict[str, str] = {}
