@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,7 @@ from murmura.llm.visible import visible
 LANGUAGES = ("en", "ur-Latn", "ur", "hi", "tl", "es", "ar")
 ORDER = 5
 SAMPLE_ROWS = 3000  # most labelled rows that the fit reads, over all languages
+SAMPLE_CHARS = 20_000  # longest text that may be in the sample
 WORD_CAP = 14.0  # most bits by which one word (a product, a name) may count against a language
 SENTENCE_WORDS = 4  # least words of a full sentence
 
@@ -213,16 +214,16 @@ def fit(rows: DataFrame, text: str = "text", label: str = "language", key: str =
             c[w] *= 3
     # A language's share of the sample is bounded on its own, so that the rare ones are seen too.
     share = sample_rows // len(LANGUAGES)
-    part = rows.where(F.col(text).isNotNull() & F.lower(label).isin([c.lower() for c in LANGUAGES])).select(F.lower(label).alias("l"), F.col(text).alias("t"), F.xxhash64(key).alias("h"))
-    tops = part.groupBy("l").agg(F.expr(f"max_by(t, -h, {share})").alias("ts"))
+    part = rows.where(F.lower(label).isin([c.lower() for c in LANGUAGES]) & (F.length(text) <= SAMPLE_CHARS))
+    part = part.select(F.lower(label).alias("l"), F.col(text).alias("t"), F.xxhash64(key).alias("h"))
+    tops = part.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("k") <= share)
     codes = {c.lower(): c for c in LANGUAGES}
-    for lower, texts in tops.collect():
+    for lower, t in tops.select("l", "t").collect():
         code = codes[lower]
-        for t in texts:
-            for s in sentences(t):
-                tokens = words(s)
-                if len(tokens) >= SENTENCE_WORDS and seeds.best(tokens)[0] == code:
-                    counts[code].update(tokens)
+        for s in sentences(t):
+            tokens = words(s)
+            if len(tokens) >= SENTENCE_WORDS and seeds.best(tokens)[0] == code:
+                counts[code].update(tokens)
     return freeze(counts)
 
 
