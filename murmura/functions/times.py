@@ -7,6 +7,8 @@ Local times are whole minutes since 1970.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,19 +52,29 @@ def group(text: Column, pattern: str, n: int) -> Column:
     return F.regexp_extract(text, pattern, n)
 
 
-def day_number(year: Column, month: Column, day: Column) -> Column:
-    """Days since 1970 of a calendar date; null for one that does not exist, such as 31 February."""
-    made = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    valid = year.between(1900, 2099) & month.between(1, 12) & day.between(1, 31)
-    return F.when(valid, F.unix_date(F.try_to_timestamp(made, F.lit("yyyy-MM-dd")).cast("date")))
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, also where the plan is interpreted."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def day_number(text: Column, pattern: str = "yyyy-M-d") -> Column:
+    """Days since 1970 of a date text; null for one that does not exist, such as 31 February."""
+    return F.unix_date(F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
 
 
 def clock_minute(text: Column) -> Column:
     """Minute of the day of the first clock time in tidy text: 24 h, or 12 h with am or pm; else null."""
-    hour, minute, half = whole(group(text, _CLOCK, 1)), whole(group(text, _CLOCK, 2)), F.substring(group(text, _CLOCK, 3), 1, 1)
-    twelve = F.when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-    full = F.when(half != "", twelve).otherwise(F.when(hour <= 23, hour))
-    return F.when(minute <= 59, full * 60 + minute)
+
+    def minute(clock: Column) -> Column:
+        parts = F.struct(whole(group(clock, _CLOCK, 1)).alias("h"), whole(group(clock, _CLOCK, 2)).alias("m"), F.substring(group(clock, _CLOCK, 3), 1, 1).alias("x"))
+
+        def count(p: Column) -> Column:
+            twelve = F.when(p["h"].between(1, 12), p["h"] % 12 + F.when(p["x"] == "p", 12).otherwise(0))
+            return F.when(p["m"] <= 59, F.when(p["x"] != "", twelve).otherwise(F.when(p["h"] <= 23, p["h"])) * 60 + p["m"])
+
+        return F.when(clock != "", bind(parts, count))
+
+    return bind(group(text, _CLOCK, 0), minute)
 
 
 def month_number(text: Column) -> Column:
@@ -81,12 +93,11 @@ def named_year(text: Column) -> Column:
 
 
 def offset_minutes(text: Column) -> Column:
-    """Minutes east of UTC that tidy text states after its clock time; null if it states none."""
+    """Minutes east of UTC that tidy text with a clock time states after it; null if it states none."""
     pattern = r"\d(?:\s*[ap]\.?m)?\s*(?:gmt|utc)?\s*([+-])(\d{1,2}):?(\d{2})$"
-    after_clock = text.rlike(r"\d[:.]\d{2}")
     sign = F.when(group(text, pattern, 1) == "-", -1).otherwise(1)
     stated = sign * (whole(group(text, pattern, 2)) * 60 + whole(group(text, pattern, 3)))
-    return F.when(after_clock & text.rlike(r"\d(?:\s*[ap]\.?m)?\s*(?:z|utc|gmt)$"), F.lit(0)).when(after_clock & text.rlike(pattern), stated)
+    return F.when(text.rlike(r"\d(?:\s*[ap]\.?m)?\s*(?:z|utc|gmt)$"), F.lit(0)).when(text.rlike(pattern), stated)
 
 
 def stated_minute(text: Column) -> Column:
@@ -96,21 +107,23 @@ def stated_minute(text: Column) -> Column:
     form count as UTC. Null, empty, impossible or clockless text gives a null minute.
     """
     compact = r"^(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(?:\d{2})?z$"
-    packed = day_number(*[whole(group(text, compact, k)) for k in (1, 2, 3)]) * 1440 + whole(group(text, compact, 4)) * 60 + whole(group(text, compact, 5))
-    seconds = F.when(text.rlike(r"^\d{10}$"), text.try_cast("bigint")).when(text.rlike(r"^\d{13}$"), F.floor(text.try_cast("bigint") / 1000))
-    iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?!\d)"
-    slash = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
-    day = F.coalesce(
-        day_number(*[whole(group(text, iso, k)) for k in (1, 2, 3)]),
-        day_number(*[whole(group(text, slash, k)) for k in (3, 2, 1)]),
-        day_number(named_year(text), month_number(text), named_day(text)),
+    packed = F.floor(F.unix_seconds(F.try_to_timestamp(F.regexp_replace(text, compact, "$1-$2-$3 $4:$5"), F.lit("yyyy-MM-dd HH:mm"))) / 60)
+    iso = r"^((?:19|20)\d{2}-\d{1,2}-\d{1,2})(?!\d)"
+    slash = r"^\d{1,2}/\d{1,2}/(?:19|20)\d{2}"
+    named = F.concat_ws("-", named_year(text), month_number(text), named_day(text))
+    day = (
+        F.when(text.rlike(iso), day_number(group(text, iso, 1)))
+        .when(text.rlike(slash), day_number(group(text, slash, 0), "d/M/yyyy"))
+        .otherwise(day_number(named))
     )
-    clock = clock_minute(F.regexp_replace(F.regexp_replace(text, r"(?<=\d)t(?=\d)", " "), r"(?:gmt|utc)\s*[+-].*$", ""))
-    utc = F.coalesce(packed, F.floor(seconds / 60))
-    has_clock = text.rlike(r"\d[:.]\d{2}")
-    return F.struct(
-        F.coalesce(utc, F.when(has_clock, day.cast("bigint") * 1440 + clock)).alias("minute"),
-        F.when(utc.isNotNull(), F.lit(0)).otherwise(offset_minutes(text)).alias("shift"),
+    clock = clock_minute(F.regexp_replace(text, r"(?<=\d)t(?=\d)|(?:gmt|utc)\s*[+-].*$", " "))
+    number = F.struct(F.lit(None).cast("bigint").alias("minute"), F.lit(None).cast("int").alias("shift"))
+    return (
+        F.when(text.rlike(r"\d[:.]\d{2}"), F.struct((day.cast("bigint") * 1440 + clock).alias("minute"), offset_minutes(text).alias("shift")))
+        .when(text.rlike(r"^\d{10}$"), F.struct(F.floor(text.try_cast("bigint") / 60).alias("minute"), F.lit(0).alias("shift")))
+        .when(text.rlike(r"^\d{13}$"), F.struct(F.floor(text.try_cast("bigint") / 60000).alias("minute"), F.lit(0).alias("shift")))
+        .when(text.rlike(compact), F.struct(packed.alias("minute"), F.lit(0).alias("shift")))
+        .otherwise(number)
     )
 
 
@@ -133,7 +146,7 @@ def called_minute(text: Column, now: Column) -> Column:
     back = (((today + 3) % 7 - weekday + 6) % 7) + 1
     year = F.year(F.timestamp_seconds(now * 60))
     month, day = month_number(text), named_day(text)
-    this_year, last_year = day_number(year, month, day), day_number(year - 1, month, day)
+    this_year, last_year = (day_number(F.concat_ws("-", y, month, day)) for y in (year, year - 1))
     yearless = F.when(this_year <= today + 1, this_year).otherwise(F.coalesce(last_year, this_year - 365))
     named = (
         F.when(text.rlike(r"^(?:today|hoy|ngayon)(?![\p{L}])"), today)
