@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import language, personal, visible
+from murmura.llm import language, moderation, personal, reading, tokens, visible
 from murmura.session import spread, table
 
 
@@ -20,6 +20,22 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", visible.canonical_column(items["text"]).alias("text_form"), visible.canonical_column(items["author_name"]).alias("author_form"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id of every item whose text is abusive, hateful or sexual."""
+    items = spread(table(spark, sf_dir, "items").select("item_id", "text"))
+    return moderation.scored(items).where(f"score >= {moderation.THRESHOLD}").select("item_id")
+
+
+def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id with its score in each category."""
+    return moderation.scored(spread(table(spark, sf_dir, "items").select("item_id", "text")))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of flagged items per group_name."""
+    return moderation.rates(spread(table(spark, sf_dir, "items").select("group_name", "text")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id and language: wrongly or not labelled items, and each language of items that mix several."""
     items = table(spark, sf_dir, "items").select("item_id", "text", "language")
@@ -46,5 +62,27 @@ def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", *[personal.redacted_column(items[f], t)["text"].alias(f) for f, t in kinds.items()])
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the ids of each document by byte_bpe_50k, without special tokens."""
+    return tokens.encoded(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and reading level of every English document of at least 40 words."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    levels = reading.english_levels(documents, table(spark, sf_dir, "reading_samples"), _seed_languages())
+    return levels.select("doc_id", "reading_level")
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the reading levels per source."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return reading.source_profile(documents, table(spark, sf_dir, "reading_samples"), _seed_languages())
+
+
+def _seed_languages() -> tuple:
+    return language.freeze(language.seed_counts())
+
+
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p10_found": p10_found, "p10_profile": p10_profile}
 SQL: dict[str, str] = {}
