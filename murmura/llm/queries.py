@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import language, moderation, personal, reading, tokens, visible
+from murmura.llm import language, leakage, moderation, personal, reading, tokens, visible
 from murmura.session import spread, table
 
 
@@ -67,6 +67,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and test_id of every document that holds at least half of a held-out item's words."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return leakage.leaks(documents, table(spark, sf_dir, "held_out_items")).select("doc_id", "test_id")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and reading level of every English document of at least 40 words."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -84,5 +90,5 @@ def _document_languages(documents: DataFrame) -> tuple:
     return language.fit(documents, label="lang", key="doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_profile": p10_profile}
 SQL: dict[str, str] = {}
