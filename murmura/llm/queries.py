@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import language, leakage, moderation, personal, reading, survivors, tokens, visible
+from murmura.llm import history, language, leakage, moderation, personal, reading, survivors, tokens, visible
 from murmura.session import spread, table
 
 
@@ -30,6 +30,11 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.surviving_records(table(spark, sf_dir, "items"), table(spark, sf_dir, "runs"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items of different runs that are the same post."""
+    return history.repeated_posts(table(spark, sf_dir, "items"), table(spark, sf_dir, "runs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id of every item whose text is abusive, hateful or sexual."""
     items = spread(table(spark, sf_dir, "items").select("item_id", "text"))
@@ -100,5 +105,5 @@ def _document_languages(documents: DataFrame) -> tuple:
     return language.fit(documents, label="lang", key="doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_profile": p10_profile}
 SQL: dict[str, str] = {}
