@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from murmura.functions import fixed_values as V
+
 # Month names in the languages of the data, by number.
 MONTHS = {
     1: "january jan enero جنوری enero", 2: "february feb febrero فروری", 3: "march mar marzo مارچ", 4: "april apr abril اپریل",
@@ -155,3 +157,118 @@ def called_minute(text: Column, now: Column) -> Column:
         .when(month.isNotNull() & named_year(text).isNull(), yearless)
     )
     return named.cast("bigint") * 1440 + clock
+
+
+# A record's posting time with its precision
+
+
+_SPANISH = "enero febrero marzo abril mayo junio julio agosto septiembre setiembre octubre noviembre diciembre".split()
+_ENGLISH_MONTHS = {name: number for name, number in _MONTH_OF.items() if name.isascii() and name not in _SPANISH}
+_ENGLISH = "|".join(sorted(_ENGLISH_MONTHS, key=lambda n: (-len(n), n)))
+_EXACT_CLOCK = r"(?<![\p{L}\p{N}_])(\d{1,2})[:.](\d{2})(?:\s*([ap])\.?\s?m(?![\p{L}\p{N}_])\.?)?"
+
+
+def label_text(text: Column) -> Column:
+    """A time label in lower case with plain blanks and no commas."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), "  ,", "   "), r"(?U)\s+", " "))
+
+
+def _label_clock(text: Column) -> tuple[Column, Column]:
+    """(whether a clock time is written, its minute of the day or null if it cannot be)."""
+    written = text.rlike(_EXACT_CLOCK)
+
+    def minute(clock: Column) -> Column:
+        hour, minutes, half = whole(group(clock, _EXACT_CLOCK, 1)), whole(group(clock, _EXACT_CLOCK, 2)), group(clock, _EXACT_CLOCK, 3)
+        twelve = F.when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+        return F.when(minutes <= 59, F.when(half != "", twelve).otherwise(F.when(hour <= 23, hour)) * 60 + minutes)
+
+    return written, F.when(written, bind(text, minute))
+
+
+def _label_date(text: Column, default_year: Column) -> tuple[Column, Column]:
+    """(day number, whether a year is written) of a month name with a day and perhaps a year."""
+    rest = F.regexp_replace(text, _EXACT_CLOCK, " ")
+    year_text = group(rest, r"(?<![\p{L}\p{N}_])((?:19|20)\d{2})(?![\p{L}\p{N}_])", 1)
+    month = F.try_element_at(_map(_ENGLISH_MONTHS), group(rest, rf"(?<![a-z])({_ENGLISH})(?![a-z])", 1))
+    rest = F.regexp_replace(rest, r"(?<![\p{L}\p{N}_])(?:19|20)\d{2}(?![\p{L}\p{N}_])", " ")
+    day = whole(group(rest, r"(?<![\p{L}\p{N}_])(\d{1,2})(?:st|nd|rd|th)?(?![\p{L}\p{N}_])", 1))
+    year = F.coalesce(whole(year_text), default_year)
+    return day_number(F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.concat_ws("-", year, month, day))), year_text != ""
+
+
+def parse_exact(text: Column) -> Column:
+    """struct(minute, precision) of a tooltip: a date with its year, minute precise with a clock time, else day."""
+    label = label_text(text)
+    written, clock = _label_clock(label)
+    day, _ = _label_date(label, F.lit(None).cast("int"))
+    valid = day.isNotNull() & ~(written & clock.isNull())
+    return F.when(valid, F.struct((day.cast("bigint") * 1440 + F.coalesce(clock, F.lit(0))).alias("minute"), F.when(written, "minute").otherwise("day").alias("precision")))
+
+
+def parse_relative(text: Column, now: Column) -> Column:
+    """struct(minute, precision) of a short label, relative to the local second now."""
+    label = F.regexp_replace(label_text(text), r"^(?:about|over|almost|more than)\s+", "")
+    number = group(label, r"^(\d+|an?|one)\s*([a-z]+)(?:\s+ago)?$", 1)
+    unit = group(label, r"^(\d+|an?|one)\s*([a-z]+)(?:\s+ago)?$", 2)
+    seconds = F.try_element_at(_map({u: s for units, (_, s) in V.TIME_UNITS.items() for u in units.split()}), unit)
+    unit_precision = F.try_element_at(F.create_map(*[F.lit(x) for units, (p, _) in V.TIME_UNITS.items() for u in units.split() for x in (u, p)]), unit)
+    times = F.coalesce(number.try_cast("bigint"), F.lit(1))
+    written, clock = _label_clock(label)
+    today = F.floor(now / 86400)
+    rest = F.trim(F.regexp_replace(F.regexp_replace(label, _EXACT_CLOCK, " "), r"(?<![\p{L}\p{N}_])at(?![\p{L}\p{N}_])", " "))
+    names = "monday tuesday wednesday thursday friday saturday sunday".split()
+    weekday = F.try_element_at(_map({n: k for k, n in enumerate(names)}), rest)
+    called = F.when(rest == "today", today).when(rest == "yesterday", today - 1).otherwise(today - ((today + 3 - weekday + 6) % 7 + 1))
+    year = F.year(F.timestamp_seconds(now))
+    day, has_year = _label_date(label, year)
+    minute = day.cast("bigint") * 1440 + F.coalesce(clock, F.lit(0))
+    before, _ = _label_date(label, year - 1)
+    late = ~has_year & (minute * 60 > now + 86400)
+    dated = F.when(late, F.coalesce(before.cast("bigint") * 1440 + F.coalesce(clock, F.lit(0)), minute - 365 * 1440)).otherwise(minute)
+    precision = F.when(written, "minute").otherwise("day")
+    return F.when(
+        F.length(label_text(text)) <= 60,
+        F.when(label_text(text).isin(list(V.NOW_LABELS)), F.struct(F.floor(now / 60).alias("minute"), F.lit("minute").alias("precision")))
+        .when((number != "") & seconds.isNotNull(), F.struct(F.floor((now - times * seconds) / 60).alias("minute"), unit_precision.alias("precision")))
+        .when(
+            ~(written & clock.isNull()),
+            F.when(called.isNotNull(), F.struct((called * 1440 + F.coalesce(clock, F.lit(0))).alias("minute"), precision.alias("precision"))).when(
+                dated.isNotNull(), F.struct(dated.alias("minute"), precision.alias("precision"))
+            ),
+        ),
+    )
+
+
+def finer_rank(precision: Column) -> Column:
+    """Rank of a precision, finest 0; null is the coarsest."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in PRECISIONS]), precision), F.lit(0)) - 1, F.lit(len(PRECISIONS)))
+
+
+def local_iso(minute: Column, offset: Column) -> Column:
+    """ISO text of a local minute with its offset."""
+    sign = F.when(offset < 0, "-").otherwise("+")
+    zone = F.concat(sign, F.lpad(F.floor(F.abs(offset) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(offset) % 60).cast("string"), 2, "0"))
+    return F.concat(F.date_format(F.timestamp_seconds(minute * 60), "yyyy-MM-dd'T'HH:mm:00"), zone)
+
+
+def resolve(time_exact: Column, time_text: Column, captured_at: Column, offset: Column, default_offset: int = 0) -> Column:
+    """struct(posted_at, posted_date, posted_at_precision, posted_at_source) of a record; nulls if nothing is known.
+
+    The tooltip first, else the label relative to captured_at in the run's zone. A missing offset counts as
+    default_offset, the same on every machine.
+    """
+    zone = F.coalesce(offset.cast("int"), F.lit(default_offset))
+    captured = F.unix_seconds(F.try_to_timestamp(captured_at))
+    exact = parse_exact(time_exact)
+    relative = parse_relative(time_text, captured + zone * 60)
+    source = F.when(exact.isNotNull(), "time_exact").when(relative.isNotNull(), "time_text")
+
+    def fields(found: Column) -> Column:
+        return F.struct(
+            local_iso(found["minute"], zone).alias("posted_at"),
+            F.date_format(F.timestamp_seconds(found["minute"] * 60), "yyyy-MM-dd").alias("posted_date"),
+            found["precision"].alias("posted_at_precision"),
+            F.when(found.isNotNull(), source).alias("posted_at_source"),
+        )
+
+    return bind(F.coalesce(exact, relative), fields)
