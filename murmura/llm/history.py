@@ -23,21 +23,19 @@ import binascii
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from murmura.llm import language, personal
-from murmura.llm.visible import canonical
+from murmura.llm import personal
+from murmura.llm.visible import canonical, visible
 from murmura.session import cut, shared_path
 
 COVER = 0.5
 MIN_LETTERS = 12
-MIN_HASHES = 6
+MIN_HASHES = 4
 SHINGLE = 3
-BUCKETS = 32
 MEMBERS_PER_SALT = 2000
 
 # Interface labels that stand in place of a name.
@@ -89,132 +87,173 @@ def author_of(name: str | None) -> str | None:
     return None if not plain or plain in NAME_LABELS else plain
 
 
-_WORDS: dict[str, int] = {}
-_ODD = np.array([_hash("odd", k) | 1 for k in range(MIN_HASHES + SHINGLE + 2)], np.int64).view(np.uint64)
-
-
-def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_WORDS) > 1 << 20:
-        _WORDS.clear()
-    return np.array([_WORDS[w] if w in _WORDS else _WORDS.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], np.uint64)
-
-
-def _features(text: str | None) -> tuple[int | None, list[int], list[int], list[int]]:
-    """(hash of the whole text, word-pair hashes, paragraph hashes, minimum hashes); nulls and nothing for short texts."""
-    if not text or sum(map(str.isalnum, text)) < MIN_LETTERS:
-        return None, [], [], []
-    form = canonical(text)
-    hashes = _word_hashes(_WORD.findall(form))
-    if len(hashes) < 2:
-        return _hash(form), [0], [], []
-    pairs = np.unique(((hashes[:-1] * _ODD[0] + hashes[1:] * _ODD[1]) >> np.uint64(33)).astype(np.int32)).tolist()
-    parts = set()
-    for s in language.sentences(text):
-        line = " ".join(_WORD.findall(canonical(s)))
-        if line:
-            parts.add((-sum(map(str.isdigit, line)), -line.count(" "), _hash(line)))
-    ordered = sorted(parts)
-    chosen = [p[2] for p in ordered[: len(ordered) // 2 + 1] if p[1] <= -2]
-    width = min(SHINGLE, len(hashes))
-    shingles = sum(hashes[k : len(hashes) - width + 1 + k] * _ODD[2 + k] for k in range(width))
-    least = ((shingles[None, :] ^ (shingles[None, :] >> np.uint64(29))) * _ODD[2 + SHINGLE :, None]).min(axis=1)
-    return _hash(form), pairs, chosen, [_hash(k, v) for k, v in enumerate(least.tolist())]
-
-
-CLASS = T.StructType(
-    [
-        T.StructField("class", T.LongType()), T.StructField("post", T.LongType()), T.StructField("placed", T.BooleanType()), T.StructField("named", T.BooleanType()),
-        T.StructField("author", T.LongType()), T.StructField("content", T.LongType()), T.StructField("pairs", T.ArrayType(T.IntegerType())),
-        T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("open_keys", T.ArrayType(T.LongType())),
-    ]
-)
-
-
-@F.pandas_udf(CLASS)
-def _class(url_key: pd.Series, content_key: pd.Series, kind: pd.Series, group_url: pd.Series, parent: pd.Series, author: pd.Series, text: pd.Series) -> pd.DataFrame:
-    rows = []
-    names: dict[str | None, str | None] = {}
-    for u, c, k, g, p, a, t in zip(url_key, content_key, kind, group_url, parent, author, text, strict=True):
+_MASK64 = (1 << 64) - 1
+_ODD = np.array([_hash("odd", k) | 1 for k in range(MIN_HASHES + SHINGLE + 4)], np.int64).view(np.uint64)
+_SENTENCE = re.compile(r"[.!?؟।۔…]+\s+|\n+")
+_words: dict[str, int] = {}
+
+
+def _word(word: str) -> int:
+    """Hash of a word; its last bit tells whether it has a digit."""
+    if len(_words) > 1 << 20:
+        _words.clear()
+    made = _words[word] = (xxhash.xxh64_intdigest(word) & ~1) | any(map(str.isdigit, word))
+    return made
+
+
+def _mixed(values: np.ndarray, *seeds: int) -> np.ndarray:
+    """values under seeds, as signed 64-bit keys."""
+    for k, seed in enumerate(seeds):
+        values = (values ^ np.uint64(seed & _MASK64)) * _ODD[k % 3]
+        values ^= values >> np.uint64(31)
+    return values.view(np.int64)
+
+
+_NO_HASHES = np.empty(0, np.uint64)
+
+
+def _features(text: str | None) -> tuple[int | None, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the whole text, word-pair hashes, paragraph hashes, minimum hashes); null and nothing for short texts."""
+    found = [w for w in map(_WORD.findall, _SENTENCE.split(visible(text).casefold())) if w] if text else []
+    words = [w for sentence in found for w in sentence]
+    if sum(map(len, words)) < MIN_LETTERS:
+        return None, np.empty(0, np.int32), _NO_HASHES, _NO_HASHES
+    known = _words.get
+    hashes = np.array([known(w) or _word(w) for w in words], np.uint64)
+    whole = xxhash.xxh64_intdigest(hashes.tobytes())
+    if len(words) < 2:
+        return whole, np.zeros(1, np.int32), np.array([whole], np.uint64), _NO_HASHES
+    pairs = np.unique(((hashes[:-1] * _ODD[0] + hashes[1:] * _ODD[1]) >> np.uint64(33)).astype(np.int32))
+    sizes = [len(w) for w in found]
+    ends = np.cumsum(sizes)
+    digits = np.add.reduceat(hashes & np.uint64(1), np.concatenate([[0], ends[:-1]])).tolist()
+    parts = {(-d, -n, xxhash.xxh64_intdigest(hashes[e - n : e].tobytes())) for d, n, e in zip(digits, sizes, ends.tolist(), strict=True)}
+    chosen = [h for _, n, h in sorted(parts)[: len(parts) // 2 + 1] if n <= -3]
+    width = min(SHINGLE, len(words))
+    shingles = sum(hashes[k : len(hashes) - width + 1 + k] * _ODD[3 + k] for k in range(width))
+    least = ((shingles ^ (shingles >> np.uint64(29)))[None, :] * _ODD[3 + SHINGLE : 3 + SHINGLE + MIN_HASHES, None]).min(axis=1)
+    return whole, pairs, np.array(chosen, np.uint64), least + np.arange(MIN_HASHES, dtype=np.uint64)
+
+
+FIELDS = ("item_id", "first_run_id", "url_key", "content_key", "kind", "group_url", "parent_post_url", "author_name", "text")
+SCHEMA = (
+    "class bigint, item_id string, first_run_id string, post bigint, placed boolean, named boolean, author bigint, content bigint, "
+    "pairs array<int>, keys array<bigint>, open_keys array<bigint>"
+)
+
+
+def _signed(value: int | None) -> int | None:
+    return None if value is None else value - (1 << 64) if value >= 1 << 63 else value
+
+
+class _Classes:
+    """Turns rows into classes with keys; a class that a task has met before gets no keys again."""
+
+    def __init__(self) -> None:
+        self.met: set[int] = set()
+        self.names: dict[str | None, str | None] = {}
+
+    def row(self, u, c, k, g, p, a, t) -> tuple:
         post, scope = post_id(u), scope_of(k, g, p)
-        if a not in names:
-            names[a] = author_of(a)
-        name = names[a]
-        whole, pairs, parts, least = _features(t) if scope else (None, [], [], [])
-        keys = [_hash("id", post)] if post else []
-        shared = [("text", whole)] * (whole is not None) + [("part", x) for x in parts] + [("least", x) for x in least]
-        if scope and c:
-            shared.append(("content", c))
+        if len(self.names) > 1 << 18:
+            self.names.clear()
+        name = self.names[a] if a in self.names else self.names.setdefault(a, author_of(a))
+        whole, pairs, parts, least = _features(t) if scope else (None, np.empty(0, np.int32), _NO_HASHES, _NO_HASHES)
+        own = _hash(post, scope, name, c, whole, *([] if whole is not None else [t]))
+        head = (own, _hash(post) if post else None, scope is not None, name is not None, _hash(name) if name is not None else None, _hash(scope, c) if scope and c else None)
+        if own in self.met or scope is None:
+            keys = np.array([_hash("id", post)] if post and own not in self.met else [], np.int64)
+            return head, pairs, keys, np.empty(0, np.int64)
+        if len(self.met) < 1 << 20:
+            self.met.add(own)
+        where = xxhash.xxh64_intdigest(scope)
+        shared = np.append(parts, np.uint64(xxhash.xxh64_intdigest(c))) if c else parts
         # Classes with an author meet others of the same author; one without meets all of its scope (open keys).
-        if name is not None:
-            keys += [_hash("by", scope, name, *x) for x in shared]
-        rows.append(
-            (
-                _hash(post, scope, name, c, whole, *([] if whole is not None else [t])),
-                _hash(post) if post else None, scope is not None, name is not None, None if name is None else _hash(name), _hash(scope, c) if scope and c else None,
-                pairs, keys, [_hash("in", scope, *x) for x in shared],
-            )
+        keys = [_mixed(np.append(shared, least), where, xxhash.xxh64_intdigest(name))] if name is not None else []
+        if post:
+            keys.append(np.array([_hash("id", post)], np.int64))
+        return head, pairs, np.concatenate(keys) if keys else np.empty(0, np.int64), _mixed(shared if name is not None else shared.copy(), where)
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], kind))
+
+
+def _classified(batches):
+    made = _Classes()
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(2, len(FIELDS))]
+        rows = [made.row(*values) for values in zip(*columns, strict=True)]
+        heads = list(zip(*[r[0] for r in rows], strict=True)) or [()] * 6
+        long, flag = pa.int64(), pa.bool_()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(heads[0], long), batch.column(0), batch.column(1), pa.array(heads[1], long), pa.array(heads[2], flag), pa.array(heads[3], flag),
+                pa.array(heads[4], long), pa.array(heads[5], long), _lists([r[1] for r in rows], pa.int32()), _lists([r[2] for r in rows], long), _lists([r[3] for r in rows], long),
+            ],
+            names=[f.split()[0] for f in SCHEMA.replace("array<", "").split(", ")],
         )
-    return pd.DataFrame(rows, columns=CLASS.names).astype({"post": "Int64", "author": "Int64", "content": "Int64"})
 
 
 def classified(rows: DataFrame) -> DataFrame:
-    """Rows of items with their class: item_id, first_run_id and the fields of CLASS."""
-    fields = ["url_key", "content_key", "kind", "group_url", "parent_post_url", "author_name", "text"]
-    return rows.select("item_id", "first_run_id", _class(*fields).alias("c")).select("item_id", "first_run_id", "c.*")
+    """Rows of items with their class and its keys."""
+    return rows.select(*FIELDS).mapInArrow(_classified, SCHEMA)
 
 
 class History:
-    """The accepted rows' classes and keys in bucketed tables under a shared folder."""
+    """The accepted rows' classes and keys, in bucketed tables under the shared folder."""
 
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS) -> None:
-        self.spark, self.buckets, self.path = spark, buckets, shared_path(spark, "history")
+    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+        self.spark, self.path = spark, shared_path(spark, "history")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = "history_" + re.sub(r"\W", "_", self.path.rpartition("-")[2])
-        self.started = False
+        self.batches = 0
 
     def _append(self, df: DataFrame, kind: str, by: str) -> None:
         df.write.mode("append").format("parquet").bucketBy(self.buckets, by).option("path", f"{self.path}/{kind}").saveAsTable(f"{self.name}_{kind}")
 
-    def _table(self, kind: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{kind}")
+    def rows(self) -> DataFrame:
+        """One row per accepted row, bucketed by class."""
+        return self.spark.table(f"{self.name}_rows")
+
+    def keys(self) -> DataFrame:
+        """(key, class, open, named, batch), bucketed by key."""
+        return self.spark.table(f"{self.name}_keys")
 
     def accept(self, rows: DataFrame) -> DataFrame:
-        """Candidate links (class_a, class_b) of a batch to history and within itself; appends the batch.
+        """Appends a batch; the links (class_a, class_b) that it may make with history and within itself.
 
-        Keys of a class with an author never meet on the open side unless one of the two has none, so that a
-        busy group does not multiply its rows.
+        Texts are read once, here; history takes part with its keys only, bucket by bucket. Keys of the open side
+        never meet unless one of the two classes has no author, so that a busy group does not multiply its rows.
         """
-        batch = cut(classified(rows))
-        classes = batch.dropDuplicates(["class"]).select("class", "post", "placed", "named", "author", "content", "pairs", "keys", "open_keys")
-        own = classes.select("class", F.lit(False).alias("open"), "named", F.explode("keys").alias("key"))
-        shared = classes.select("class", F.lit(True).alias("open"), "named", F.explode("open_keys").alias("key"))
-        keys = own.unionByName(shared).distinct()
-        if self.started:
-            keys = keys.join(self._table("classes").select("class"), "class", "left_anti")
-            classes = classes.join(self._table("classes").select("class"), "class", "left_anti")
-        keys = cut(keys.repartition(self.buckets, "key"))
-        new = keys.select("key", "class", "open", "named")
-        probe = new.where("not open or not named")
-        found = self._meet(probe, new)
-        if self.started:
-            old = self._table("keys")
-            found = found.unionByName(self._meet(probe, old)).unionByName(self._meet(new.where("open and named"), old.where("open and not named")))
-        found = cut(found.distinct())
-        self._append(classes.drop("keys", "open_keys"), "classes", "class")
-        self._append(keys, "keys", "key")
-        self._append(batch.select("class", "item_id", "first_run_id"), "members", "class")
-        self.started = True
+        number = F.lit(self.batches)
+        self._append(classified(rows).withColumn("batch", number), "rows", "class")
+        batch = self.rows().where(F.col("batch") == self.batches)
+        own = batch.select(F.explode("keys").alias("key"), "class", F.lit(False).alias("open"), "named")
+        shared = batch.select(F.explode("open_keys").alias("key"), "class", F.lit(True).alias("open"), "named")
+        keys = own.unionByName(shared).repartition(self.buckets, "key").dropDuplicates(["key", "class", "open"])
+        self._append(keys.withColumn("batch", number), "keys", "key")
+        everything = self.keys().where(F.col("batch") <= self.batches)
+        new, old = everything.where(F.col("batch") == self.batches), everything.where(F.col("batch") < self.batches)
+        probe = F.expr("not open or not named")
+        found = self._meet(new.where(probe), everything)
+        if self.batches:
+            found = found.unionByName(self._meet(new.where("open and named"), old.where("open and not named")))
+        self.batches += 1
         return found
 
     @staticmethod
     def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
         a, b = left.select("key", F.col("class").alias("x")), right.select("key", F.col("class").alias("y"))
         both = a.join(b, "key").where("x <> y")
-        return both.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"))
+        return both.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).distinct()
 
     def verified(self, found: DataFrame) -> DataFrame:
         """The candidate links that hold: one post id, or text and author of rows of which one names no post."""
-        side = self._table("classes").select("class", "post", "author", "content", "pairs")
-        pairs = found.select("class_a", "class_b").distinct()
+        pairs = cut(found.distinct())
+        wanted = pairs.select(F.col("class_a").alias("class")).union(pairs.select("class_b")).distinct()
+        side = self.rows().select("class", "post", "author", "content", "pairs").join(wanted, "class", "left_semi").dropDuplicates(["class"])
         for x in "ab":
             pairs = pairs.join(side.select(F.col("class").alias(f"class_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in side.columns[1:]]), f"class_{x}")
         common = F.size(F.array_intersect("pairs_a", "pairs_b"))
@@ -225,24 +264,27 @@ class History:
         return pairs.where(same | (nameless & authors & alike)).select("class_a", "class_b")
 
     def own_links(self) -> DataFrame:
-        """Classes whose own rows are one post: a post id, or a place with a content key or a text of some length."""
-        classes = self._table("classes").where("post is not null or (placed and (content is not null or size(pairs) > 0))")
+        """Classes of several rows that are one post: a post id, or a place with a content key or a text of some length."""
+        one_post = "post is not null or (placed and (content is not null or size(pairs) > 0))"
+        classes = self.rows().where(one_post).groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
         return classes.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
 
     def row_pairs(self, links: DataFrame) -> DataFrame:
         """item_a, item_b of different runs behind links of classes; a large class is split over salts."""
-        members = self._table("members")
-        sizes = members.groupBy("class").agg((F.count("*") / MEMBERS_PER_SALT).cast("int").alias("parts"))
+        links = cut(links)
+        wanted = links.select(F.col("class_a").alias("class")).union(links.select("class_b")).distinct()
+        members = self.rows().select("class", "item_id", "first_run_id").join(wanted, "class", "left_semi")
+        sizes = members.groupBy("class").agg((F.count("*") / MEMBERS_PER_SALT).cast("int").alias("parts")).withColumnRenamed("class", "class_a")
         a = members.select(F.col("class").alias("class_a"), F.col("item_id").alias("x"), F.col("first_run_id").alias("run_x"))
         b = members.select(F.col("class").alias("class_b"), F.col("item_id").alias("y"), F.col("first_run_id").alias("run_y"))
-        links = links.join(sizes.withColumnRenamed("class", "class_a"), "class_a").withColumn("salt", F.explode(F.sequence(F.lit(0), "parts")))
-        a = a.join(sizes.withColumnRenamed("class", "class_a"), "class_a").withColumn("salt", F.pmod(F.hash("x"), F.col("parts") + 1)).drop("parts")
-        rows = links.drop("parts").join(a, ["class_a", "salt"]).join(b, "class_b")
+        salted = links.join(sizes, "class_a").withColumn("salt", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts")
+        a = a.join(sizes, "class_a").withColumn("salt", F.pmod(F.hash("x"), F.col("parts") + 1)).drop("parts")
+        rows = salted.join(a, ["class_a", "salt"]).join(b, "class_b")
         rows = rows.where("not (run_x <=> run_y) and x <> y and (class_a <> class_b or x < y)")
         return rows.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
 
     def drop(self) -> None:
-        for kind in ("classes", "keys", "members"):
+        for kind in ("rows", "keys"):
             self.spark.sql(f"drop table if exists {self.name}_{kind}")
 
 
@@ -257,9 +299,8 @@ def batches_of(items: DataFrame, runs: DataFrame, batches: int) -> list[DataFram
 
 def repeated_posts(items: DataFrame, runs: DataFrame, batches: int = 2) -> DataFrame:
     """item_a, item_b: rows of different runs that are the same post, found as the batches arrive in import order."""
-    fields = ["item_id", "first_run_id", "url_key", "content_key", "kind", "group_url", "parent_post_url", "author_name", "text"]
     history = History(items.sparkSession)
-    found = [history.accept(batch) for batch in batches_of(items.select(fields), runs, batches)]
+    found = [history.accept(batch) for batch in batches_of(items.select(*FIELDS), runs, batches)]
     candidates = found[0]
     for more in found[1:]:
         candidates = candidates.unionByName(more)
