@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from murmura.functions import fixed_values as V
 from murmura.functions.text import letters, nfkc
+from murmura.functions.times import bind
 
 #: Order in which types win a tie.
 TIE_ORDER = ("job", "giveaway", "spam", "promotion")
@@ -38,12 +40,11 @@ def _found(hay: Column, pattern: str, most: int) -> Column:
     return F.slice(F.array_distinct(F.transform(every, F.trim)), 1, most)
 
 
-def cues(text: Column, image_text: Column, author_name: Column, keywords: Column) -> dict[str, Column]:
-    """Array of struct(cue, points) per type."""
-    raw, hay = cue_text(text, image_text)
+def cues(raw: Column, hay: Column, author_name: Column, keywords: Column) -> dict[str, Column]:
+    """Array of struct(cue, points) per type, for the texts of ``cue_text``."""
     out: dict[str, Column] = {}
     for name, rules in V.CUES.items():
-        parts = [F.transform(_found(hay, p, most), lambda c, points=points: F.struct(c.alias("cue"), F.lit(points).alias("points"))) for p, points, most in rules]
+        parts = [F.transform(_found(hay, p, most), _worth(points)) for p, points, most in rules]
         if name == "promotion":
             parts += [_when(hay.rlike(java(p)), F.lit(label), points) for label, p, points in V.NAMED_CUES]
             parts.append(_when(F.regexp_count(raw, F.lit(V.SPECIFICATION_LINE)) >= 4, F.lit("specification sheet"), 2))
@@ -55,14 +56,21 @@ def cues(text: Column, image_text: Column, author_name: Column, keywords: Column
     return out
 
 
+def _worth(points: int) -> Callable[[Column], Column]:
+    return lambda cue: F.struct(cue.alias("cue"), F.lit(points).alias("points"))
+
+
 def _when(condition: Column, label: Column, points: int) -> Column:
     one = F.array(F.struct(label.alias("cue"), F.lit(points).alias("points")))
     return F.when(condition, one).otherwise(F.slice(one, 1, 0))
 
 
-def scored(found: dict[str, Column], hay: Column) -> Column:
-    """struct(content_type, content_reason): the type with most points at the threshold or above, or nulls."""
-    less = F.when(hay.rlike(java(V.OPINION)), V.OPINION_POINTS).otherwise(0)
+def scored(found: Column, opinion: Column) -> Column:
+    """struct(content_type, content_reason): the type with most points at the threshold or above, or nulls.
+
+    found holds the cues of each type in a struct.
+    """
+    less = F.when(opinion, V.OPINION_POINTS).otherwise(0)
     ranked = []
     for rank, name in enumerate(TIE_ORDER):
         points = F.aggregate(found[name], F.lit(0), lambda s, c: s + c["points"]) - less
@@ -77,7 +85,13 @@ def classify(text: Column, image_text: Column, author_name: Column, keywords: Co
 
     A listing is one by its kind. Somebody's own experience or question takes OPINION_POINTS from every type.
     """
-    _, hay = cue_text(text, image_text)
+    raw, hay = cue_text(text, image_text)
     listing = F.struct(F.lit("marketplace").alias("content_type"), F.lit(V.MARKETPLACE_REASON).alias("content_reason"))
     nothing = F.struct(F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("string").alias("content_reason"))
-    return F.when(kind == "marketplace", listing).when(F.trim(hay) == "", nothing).otherwise(scored(cues(text, image_text, author_name, keywords), hay))
+
+    def judged(t: Column) -> Column:
+        found = F.struct(*[c.alias(name) for name, c in cues(t["raw"], t["hay"], author_name, keywords).items()])
+        return F.when(F.trim(t["hay"]) == "", nothing).otherwise(bind(found, lambda f: scored(f, t["hay"].rlike(java(V.OPINION)))))
+
+    # Bound once: the texts would else be derived anew for every rule.
+    return F.when(kind == "marketplace", listing).otherwise(bind(F.struct(raw.alias("raw"), hay.alias("hay")), judged))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ def _first(text: Column, name: str) -> Column:
     return F.length(F.regexp_extract(text, f"(?s)^(.*?){pattern}", 1))
 
 
+def _one_of(known: list[str]) -> Callable[[Column], Column]:
+    return lambda word: word.isin(known)
+
+
 def detect_language(text: Column) -> Column:
     """en, ur-Latn, ur, ar, fa, hi, bn, tl or und.
 
@@ -43,8 +49,7 @@ def detect_language(text: Column) -> Column:
     ranked = F.array_max(F.array(*[F.struct(c.alias("n"), (-_first(normal, name)).alias("at"), F.lit(name).alias("script")) for name, c in counts.items()]))
     total = F.regexp_count(normal, F.lit(_ALL_LETTERS))
     words = F.transform(F.filter(F.regexp_extract_all(normal, F.lit(r"([\p{L}]+)"), 1), lambda w: w.rlike("^[A-Za-z]+$")), F.lower)
-    hits = {code: F.size(F.filter(words, lambda w, known=known: w.isin(known))) for code, known in (("en", V.ENGLISH), ("ur", V.ROMAN_URDU), ("tl", V.TAGALOG))}
-    en, ru, tl = hits["en"], hits["ur"], hits["tl"]
+    en, ru, tl = (F.size(F.filter(words, _one_of(known))) for known in (V.ENGLISH, V.ROMAN_URDU, V.TAGALOG))
     latin = (
         F.when((ru >= 2) | (tl >= 2), F.when(ru >= tl, "ur-Latn").otherwise("tl"))
         .when((en >= 1) & (en >= ru) & (en >= tl), "en")

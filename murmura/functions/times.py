@@ -42,7 +42,7 @@ def tidy(text: Column) -> Column:
     """Lower case, ASCII digits, plain single blanks."""
     digits = "".join(map(chr, range(0x660, 0x66A))) + "".join(map(chr, range(0x6F0, 0x6FA)))
     plain = F.translate(F.lower(text), digits, "0123456789" * 2)
-    return F.trim(F.regexp_replace(plain, r"[\s  -  　]+", " "))
+    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
 def whole(text: Column) -> Column:
@@ -170,7 +170,7 @@ _EXACT_CLOCK = r"(?<![\p{L}\p{N}_])(\d{1,2})[:.](\d{2})(?:\s*([ap])\.?\s?m(?![\p
 
 def label_text(text: Column) -> Column:
     """A time label in lower case with plain blanks and no commas."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), "  ,", "   "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), "\u202f\u00a0,", "   "), r"(?U)\s+", " "))
 
 
 def _label_clock(text: Column) -> tuple[Column, Column]:
