@@ -37,7 +37,7 @@ def cue_text(text: Column, image_text: Column) -> tuple[Column, Column]:
 
 def _found(hay: Column, pattern: str, most: int) -> Column:
     every = F.regexp_extract_all(hay, F.lit(java(pattern)), 0)
-    return F.slice(F.array_distinct(F.transform(every, F.trim)), 1, most)
+    return F.slice(F.array_distinct(F.transform(every, lambda x: F.trim(x))), 1, most)
 
 
 def cues(raw: Column, hay: Column, author_name: Column, keywords: Column) -> dict[str, Column]:

@@ -12,7 +12,7 @@ from murmura.functions.times import bind
 
 def lines(text: Column) -> Column:
     """Trimmed non-empty lines; null text has none."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _from(items: Column, start: Column) -> Column:

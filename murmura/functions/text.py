@@ -96,7 +96,7 @@ def image_text(descriptions: Column) -> Column:
 
 def group_name_from_title(title: Column) -> Column:
     """The first telling part of a tab title, without its counter."""
-    parts = F.transform(F.split(F.regexp_replace(F.trim(title), r"^\(\d+\+?\)\s*", ""), r" \| "), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(F.trim(title), r"^\(\d+\+?\)\s*", ""), r" \| "), lambda x: F.trim(x))
     telling = F.filter(parts, lambda p: (p != "") & ~F.lower(p).isin(list(V.TITLE_NOISE)))
     return F.substring(F.get(telling, F.lit(0)), 1, 200)
 

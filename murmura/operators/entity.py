@@ -8,6 +8,7 @@ merged by declarative aggregates.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections import defaultdict
 
@@ -77,7 +78,6 @@ class _Fold:
     """The open items of one component while its records stream by."""
 
     def __init__(self) -> None:
-        self.items: list[dict] = []
         self.by_record: dict[str, dict] = {}
         self.by_url: dict[str, dict] = {}
         self.by_content: dict[str, list[dict]] = defaultdict(list)
@@ -90,8 +90,7 @@ class _Fold:
         outcome = "already_imported" if prior else "merged" if item else "new_items"
         clash = sets = False
         if item is None:
-            item = {"id": self._new_id(url or content or record), "url": None, "content": None, "author": ""}
-            self.items.append(item)
+            item = {"n": len(self.ids), "id": self._new_id(url or content or record), "url": None, "content": None, "author": ""}
         if url and (item["url"] is None or (_is_weak(item["url"]) and not _is_weak(url))):
             owner = self.by_url.get(url)
             clash = owner is not None and owner is not item
@@ -101,7 +100,7 @@ class _Fold:
                 self.by_url[url] = item
         if content and item["content"] is None:
             item["content"] = content
-            self.by_content[content].append(item)
+            bisect.insort(self.by_content[content], item, key=lambda i: i["n"])  # looked through in order of creation
         item["author"] = item["author"] or author
         self.by_record[record] = item
         return item["id"], outcome, sets, clash

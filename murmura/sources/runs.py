@@ -10,14 +10,14 @@ from murmura.functions.text import slugify
 RUN = (
     "tool STRING, version STRING, run_id STRING, keyword STRING, scope STRING, group_url STRING, group_name STRING, match_mode STRING, source STRING, batch_id STRING, "
     "status STRING, started_at STRING, finished_at STRING, browser_timezone STRING, browser_utc_offset_minutes INT, search_url STRING, "
-    "error STRUCT<code: STRING, message: STRING, hint: STRING>, stats MAP<STRING, BIGINT>, warnings ARRAY<STRING>"
+    "error STRUCT<code STRING, message STRING, hint STRING>, stats MAP<STRING, BIGINT>, warnings ARRAY<STRING>"
 )
 RECORD = (
     "id STRING, kind STRING, keyword STRING, keyword_verified BOOLEAN, matched_in STRING, matched_terms ARRAY<STRING>, match_snippet STRING, post_url STRING, "
     "comment_url STRING, parent_post_url STRING, author_name STRING, author_url STRING, group_name STRING, group_url STRING, time_text STRING, time_exact STRING, "
     "text STRING, image_text STRING, price STRING, location STRING, condition STRING, screenshot_path STRING, source STRING, search_rank INT, captured_at STRING"
 )
-DOCUMENT = f"run STRUCT<{RUN.replace(' STRING', ': STRING').replace(' INT', ': INT').replace(' MAP', ': MAP').replace(' ARRAY', ': ARRAY').replace(' STRUCT', ': STRUCT')}>, results ARRAY<STRUCT<{RECORD.replace(' STRING', ': STRING').replace(' BOOLEAN', ': BOOLEAN').replace(' INT', ': INT').replace(' ARRAY', ': ARRAY')}>>, _corrupt STRING"
+DOCUMENT = f"run STRUCT<{RUN}>, results ARRAY<STRUCT<{RECORD}>>, _corrupt STRING"
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
