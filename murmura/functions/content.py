@@ -23,8 +23,8 @@ def rules_version() -> str:
 
 
 def java(pattern: str) -> str:
-    """A cue pattern with Unicode word characters and boundaries."""
-    return f"(?iU){pattern}"
+    """A cue pattern for lower-case text with plain blanks: only word characters need Unicode there."""
+    return pattern.replace(r"\w", r"[\p{L}\p{N}_]")
 
 
 def cue_text(text: Column, image_text: Column) -> tuple[Column, Column]:
@@ -52,10 +52,17 @@ def cues(raw: Column, hay: Column, author_name: Column, keywords: Column) -> dic
             author = letters(F.coalesce(author_name, F.lit("")))
             own = F.exists(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: (F.length(letters(k)) >= 3) & F.contains(author, letters(k)))
             parts.append(_when((author != "") & own, F.concat(F.lit("posted by the brand's own page ("), author_name, F.lit(")")), 3))
-        out[name] = F.concat(*parts)
+        every = F.concat(*parts)
+        if name != "promotion":  # mostly none of these is there; one search tells
+            every = F.when(hay.rlike("|".join(f"(?:{java(p)})" for p, _, _ in rules)), every).otherwise(_none())
+        out[name] = every
     return out
 
 
+def _none() -> Column:
+    return F.slice(F.array(F.struct(F.lit("").alias("cue"), F.lit(0).alias("points"))), 1, 0)
+
+
 def _worth(points: int) -> Callable[[Column], Column]:
     return lambda cue: F.struct(cue.alias("cue"), F.lit(points).alias("points"))
 

@@ -13,7 +13,7 @@ from murmura.operators import items as I
 from murmura.operators import labels as L
 from murmura.operators.items import Filters, Tables
 from murmura.plans.study import plan_of
-from murmura.session import table
+from murmura.session import spread, table
 from murmura.sources import runs as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,12 +228,12 @@ e AS (SELECT doc_id, lang, source, CASE WHEN letters < 3 THEN 'und'
 
 @query(_LANGUAGE + "SELECT doc_id, language FROM e")
 def lang_detect(spark, d):
-    return table(spark, d, "documents").select("doc_id", language.detect_language(F.col("text")).alias("language"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", language.detect_language(F.col("text")).alias("language"))
 
 
 @query(_LANGUAGE + "SELECT coalesce(lang, 'unknown') AS lang, language, count(*) AS n FROM e GROUP BY ALL")
 def lang_confusion(spark, d):
-    rows = table(spark, d, "documents").select(F.coalesce("lang", F.lit("unknown")).alias("lang"), language.detect_language(F.col("text")).alias("language"))
+    rows = spread(table(spark, d, "documents").select("lang", "text")).select(F.coalesce("lang", F.lit("unknown")).alias("lang"), language.detect_language(F.col("text")).alias("language"))
     return rows.groupBy("lang", "language").agg(F.count("*").alias("n"))
 
 
@@ -242,6 +242,7 @@ def content_type(spark, d):
     t = tables(spark, d)
     rows = t.items.join(I.keywords_per_item(t.sightings), "item_id", "left")
     c = content.classify(*[F.col(n) for n in ("text", "image_text", "author_name", "keywords", "kind")])
+    rows = spread(rows.select("item_id", "text", "image_text", "author_name", "keywords", "kind"))
     return rows.select("item_id", c.alias("c")).select("item_id", "c.content_type", "c.content_reason")
 
 
