@@ -70,7 +70,7 @@ SPELLINGS = {
 }
 _CODE = {spelling: code for code, names in SPELLINGS.items() for spelling in names.split()}
 
-_SPLIT = re.compile(r"(?:(?<=[.!?؟।۔…])(?<!\bno\.)(?<!\bNo\.)(?<!\bNO\.)(?<!\bst\.)(?<!\bSt\.)(?<!\bST\.)[\"'”’)\]]*\s+|\n+)(?=\S)")
+_SPLIT = re.compile(r"(?:(?<=[.!?؟।۔…])(?<!\bno\.)(?<!\bNo\.)(?<!\bNO\.)(?<!\bst\.)(?<!\bSt\.)(?<!\bST\.)[\"'”’)\]]*\s+|\n\s*)(?=\S)")
 _CODED = re.compile(r"\S*[\d@#/_]\S*|\[\w+\]|https?://\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?[ً-ٕऀ-ःऺ-ॏ]*(?:[^\W\d_]*[ً-ٕऀ-ःऺ-ॏ]*)*")
 
