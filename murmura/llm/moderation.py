@@ -30,7 +30,7 @@ THRESHOLD = 1.0
 # Words and phrases by weight, without accents; * stands for any ending.
 ABUSE = {
     1.0: "moron* idiot idiots imbecile* scumbag* asshole* bastard* retard* dumbass* cretin* bitch* whore* slut* prick pricks motherfuck* cunt* twat* wanker* dickhead* jackass* shithead* "
-    "fuck_you fuck_off smash_your_face break_your_legs slap_you kill_you jump_off_a_roof jump_off_a_bridge nobody_would_miss_you kill_yourself go_die punch_you "
+    "fuck_you fuck_off fck_you fck_off fuk_you smash_your_face break_your_legs slap_you kill_you jump_off_a_roof jump_off_a_bridge nobody_would_miss_you kill_yourself go_die punch_you "
     "gadha gadhay gadhe gadhi kutta kuttay kutti kamina kamine kamini haramzad* haramkhor* suar kanjar* ullu_ka_pattha ullu_ke_patthe munh_tor_dunga behnchod madarchod bhenchod chutiya* "
     "gago tanga bobo ulol putang_ina* hayop_ka inutil babasagin_ko leche_ka tarantado idiota idiotas imbecil* pendej* cabron* hijo_de_puta puta putas gilipollas partir_la_cara chinga* mierda "
     "estupid* kutte گدھا گدھے کتے کتا کمینے کمینہ حرامی حرامزادے الو_کا_پٹھا गधा गधे कुत्ते कुत्ता कमीने कमीना हरामी हरामखोर उल्लू_का_पट्ठा حمار كلب غبي حقير حيوان احمق",
