@@ -38,7 +38,7 @@ CODE_WORDS = r"order|ref(?:erence)?|serial|s/?n|item|code|model|firmware|version
 STREET_WORDS = r"street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|blvd|boulevard|close|gali|mohalla|calle|avenida|piso|barangay"
 BUSINESS_WORDS = (
     "traders repair point supply co depot tools house electronics home services energy mart solar shop store company center centre power "
-    "support helpline team desk office page group club market power town city colony school bank"
+    "support helpline team desk office page group club market power town city colony school bank housing block enclave extension villa sector phase floor second first third ground"
 ).split()
 FUNCTION_WORDS = "the a an and or from for with at in on of to my our your his her this that it i we you".split()
 
@@ -72,7 +72,7 @@ _NAME_BEFORE = (
     r"my (?:brother|sister|cousin|uncle|aunt|friend|neighbour|neighbor|husband|wife|son|daughter|father|mother)|thanks to|contact person:?|ask for|regards,?|my name is|i am|mr\.?|mrs\.?|ms\.?|dr\.?|"
     r"mere bhai|meri behan|mere dost|mera naam|si|hanapin si|ni|kay|mi (?:vecin[ao]|hermano|hermana|prim[ao]|amig[ao]|tí[ao])|pregunten por|gracias a|me llamo|señora?|salamat kay|shukriya|—|–|signed|attn:?"
 )
-_NAME_AFTER = r"from the \p{L}+ floor|sahab|sahib|sahiba|bhai|baji|ji|se baat|ne lagaya|ang nag|lo instal|has the keys|fitted it|saheb"
+_NAME_AFTER = r"from the \p{L}+ floor|sahab|sahib|sahiba|se baat|ne lagaya|ang nag|lo instal|has the keys|fitted it|saheb"
 _NAME_CUED = regex.compile(rf"(?:^|(?<=[\s(\"'“‘]))(?i:{_NAME_BEFORE}) {_NAME}(?![\p{{L}}])|(?:^|(?<![\p{{L}}])){_NAME} (?i:{_NAME_AFTER})(?![\p{{L}}])|(?:^|(?<![\p{{L}}])){_NAME} (?i:{_NAME_AFTER})")
 _NAME_HINT = regex.compile(rf"(?i)(?<![\p{{L}}])(?:{_NAME_BEFORE}|{_NAME_AFTER})")
 
