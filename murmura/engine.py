@@ -32,6 +32,26 @@ class Engine:
         kept = labels.restored(label_log, made["items"], made["sightings"]) if label_log is not None else empty
         return cls(Tables(made["items"], made["sightings"], runs.run_rows(docs), kept))
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> Engine:
+        """The dataset of a folder: its tables if they are there, else built from its run documents.
+
+        FileNotFoundError where there is neither.
+        """
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "items.parquet")):
+            return cls.of_parquet(spark, root)
+        found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*/*/results.json"))
+        if found is None or not len(found):
+            raise FileNotFoundError(f"no dataset and no run documents under {root}")
+        return cls.of_runs(spark, root)
+
+    def save(self, folder: str) -> None:
+        """Writes the tables as Parquet, to be opened again."""
+        for name, df in self.tables.__dict__.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
     def items(self, limit: int | None = 20, offset: int = 0, text_chars: int = 400, **filters) -> DataFrame:
         return items.page(self.tables, Filters(**filters), limit, offset, text_chars)
 

@@ -6,6 +6,7 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EXCLUSIONS = "run_id STRING, record_id STRING, item_id STRING, keyword STRING, reason STRING, excluded_at STRING"
 LABELS = "item_id STRING, keyword STRING, sentiment STRING, reason STRING, labeler STRING, labeled_at STRING, refs ARRAY<STRUCT<run_id: STRING, record_id: STRING>>"
@@ -43,3 +44,10 @@ def write_side_file(df: DataFrame, path: str, name: str) -> None:
     part = Path(f"{path}.part")
     part.write_text(json.dumps({"about": f"{name} set by hand", name: entries}, ensure_ascii=False, indent=1), encoding="utf-8")
     part.replace(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The searches of a batch report, one row each: keyword, scope, group_url, status, run_id, saved, error."""
+    fields = ["keyword", "scope", "group_url", "status", "run_id", "saved", "error"]
+    rows = [tuple(None if s.get(f) is None else str(s[f]) for f in fields) for s in _read(path, "searches")]
+    return spark.createDataFrame(rows, ", ".join(f"{f} STRING" for f in fields)).withColumn("saved", F.col("saved").try_cast("bigint"))
