@@ -71,7 +71,8 @@ SPELLINGS = {
 _CODE = {spelling: code for code, names in SPELLINGS.items() for spelling in names.split()}
 
 _SPLIT = re.compile(r"(?:(?<=[.!?؟।۔…])(?<!\bno\.)(?<!\bNo\.)(?<!\bNO\.)(?<!\bst\.)(?<!\bSt\.)(?<!\bST\.)[\"'”’)\]]*\s+|\n\s*)(?=\S)")
-_CODED = re.compile(r"\S*[\d@#/_]\S*|\[\w+\]|https?://\S+")
+_CODED = re.compile(r"(?<!\S)[^\s\d@#/_]*+[\d@#/_]\S*")
+_ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?[ً-ٕऀ-ःऺ-ॏ]*(?:[^\W\d_]*[ً-ٕऀ-ःऺ-ॏ]*)*")
 
 
@@ -88,7 +89,9 @@ def sentences(text: str) -> list[str]:
 
 def words(segment: str) -> list[str]:
     """Lower-case words of two letters or more; codes, numbers, tags and links are none."""
-    return [w for w in _WORD.findall(_CODED.sub(" ", segment).lower()) if len(w) > 1 or w in "aeoyو"]
+    low = _CODED.sub(" ", segment).lower()
+    found = _ASCII_WORD.findall(low) if low.isascii() else _WORD.findall(low)
+    return [w for w in found if len(w) > 1 or w in "aeoyو"]
 
 
 class Coder:

@@ -106,4 +106,24 @@ def _document_languages(documents: DataFrame) -> tuple:
 
 
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_profile": p10_profile}
-SQL: dict[str, str] = {}
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_BLANKS = "\t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def _looks_sql() -> str:
+    """The visible form of ``value`` in SQL, as far as the characters of the tables go."""
+    x = "regexp_replace(value, '([\\x{2600}-\\x{27BF}\\x{1F300}-\\x{1FAFF}])\\x{200D}', '\\1\ue000', 'g')"
+    x = f"regexp_replace({x}, '[\\x{{00AD}}\\x{{200B}}-\\x{{200D}}\\x{{2060}}\\x{{FEFF}}\\x{{FE0F}}]', '', 'g')"
+    x = f"translate({x}, '{_WIDE}{_BLANKS}', '{_NARROW}{' ' * len(_BLANKS)}')"
+    for form, letters in (("\ufb03", "ffi"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb00", "ff"), ("\u2026", "...")):
+        x = f"replace({x}, '{form}', '{letters}')"
+    (cyrillic, c), (greek, g) = visible.CYRILLIC, visible.GREEK
+    return f"nfc_normalize(translate({x}, '{cyrillic}{greek}', '{c}{g}'))"
+
+
+SQL: dict[str, str] = {
+    "p1_found": "WITH v AS (SELECT item_id, 'text' AS field_name, text AS value FROM items UNION ALL SELECT item_id, 'author_name', author_name FROM items), "
+    f"f AS (SELECT item_id, field_name, value, {_looks_sql()} AS looks FROM v WHERE trim(value) <> '') "
+    "SELECT a.field_name, a.item_id AS item_a, b.item_id AS item_b FROM f a JOIN f b ON a.field_name = b.field_name AND a.looks = b.looks WHERE a.item_id < b.item_id AND a.value <> b.value",
+}
