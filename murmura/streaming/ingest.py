@@ -1,7 +1,9 @@
-"""Incremental ingestion: new run documents as a file stream, each batch resolved with what is there.
+"""Incremental ingestion: new run documents as a file stream, each batch resolved with what it touches.
 
-State is the record table; a batch appends its records and rebuilds what it touches. As matching depends on
-import order only, the result equals that of a rebuild with the new runs last.
+Records can only influence each other through chains of equal keys. A batch therefore needs the earlier records
+that its keys reach, found on the narrow key table; only their items are resolved anew, and only the parts of the
+item and sighting tables that hold them are rewritten. As matching depends on import order only, the result
+equals that of a rebuild with the new runs last.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from murmura.operators import entity
 from murmura.operators.labels import without_excluded
+from murmura.session import cut
 from murmura.sources import runs as source
 
 
@@ -23,10 +26,13 @@ def stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> Dat
 
 
 class Ingest:
-    """Tables under a state folder, brought up to date batch by batch."""
+    """Tables under a state folder, brought up to date batch by batch.
 
-    def __init__(self, spark: SparkSession, state: str, exclusions: DataFrame | None = None) -> None:
-        self.spark, self.state, self.exclusions = spark, state.rstrip("/"), exclusions
+    records and keys are appended per batch; items and sightings are kept in parts by the hash of item_id.
+    """
+
+    def __init__(self, spark: SparkSession, state: str, exclusions: DataFrame | None = None, parts: int = 64) -> None:
+        self.spark, self.state, self.exclusions, self.parts = spark, state.rstrip("/"), exclusions, parts
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.state}/{name}")
@@ -42,19 +48,54 @@ class Ingest:
         if self._has("records"):
             known = self.read("records").where(F.col("batch") != batch_id)
             fresh = fresh.join(known.select("run_id", "record_id"), ["run_id", "record_id"], "left_anti")
+        if self.exclusions is not None:
+            fresh = without_excluded(fresh, self.exclusions)
         fresh.write.mode("overwrite").parquet(f"{self.state}/records/batch={batch_id}")
+        written = self.spark.read.parquet(f"{self.state}/records/batch={batch_id}")
+        self._keys(written).write.mode("overwrite").parquet(f"{self.state}/keys/batch={batch_id}")
         docs.where("run is not null").write.mode("overwrite").parquet(f"{self.state}/documents/batch={batch_id}")
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        """Items, sightings and runs of all records, earlier batches first."""
-        records = self.read("records")
-        if self.exclusions is not None:
-            records = without_excluded(records, self.exclusions)
-        tables = entity.resolved(source.numbered(records, ["batch", "path", "pos"]))
-        for name in ("items", "sightings"):
-            tables[name].write.mode("overwrite").parquet(f"{self.state}/{name}")
         source.run_rows(self.read("documents")).write.mode("overwrite").parquet(f"{self.state}/runs")
+        self._refresh(self.touched(batch_id))
+
+    @staticmethod
+    def _keys(records: DataFrame) -> DataFrame:
+        rows = entity.keyed(entity.repaired(records))
+        keys = F.array(F.concat(F.lit("r:"), "run_id", F.lit("|"), "record_id"), F.concat(F.lit("u:"), "url_key"), F.concat(F.lit("c:"), "content_key"))
+        return rows.select("run_id", "record_id", F.explode(F.array_compact(keys)).alias("key"))
+
+    def touched(self, batch_id: int) -> DataFrame:
+        """run_id, record_id of the batch's records and of all earlier ones that chains of keys lead to."""
+        keys = self.read("keys").where(F.col("batch") <= batch_id).select("run_id", "record_id", "key")
+        records = cut(self.read("keys").where(F.col("batch") == batch_id).select("run_id", "record_id").distinct())
+        size = records.count()
+        while True:
+            reached = keys.join(records, ["run_id", "record_id"], "left_semi").select("key").distinct()
+            records = cut(keys.join(reached, "key", "left_semi").select("run_id", "record_id").distinct())
+            if (grown := records.count()) == size:
+                return records
+            size = grown
+
+    def _refresh(self, touched: DataFrame) -> None:
+        records = self.read("records").join(touched, ["run_id", "record_id"], "left_semi")
+        made = entity.resolved(source.numbered(records, ["batch", "path", "pos"]))
+        new = {n: cut(made[n].withColumn("part", F.pmod(F.hash("item_id"), F.lit(self.parts)))) for n in ("items", "sightings")}
+        if self._has("items"):
+            gone = cut(self.read("sightings").join(touched, ["run_id", "record_id"], "left_semi").select("item_id", "part").distinct())
+            parts = new["items"].select("part").union(gone.select("part")).distinct()
+            for name, df in new.items():
+                kept = self.read(name).join(parts, "part", "left_semi").join(gone, "item_id", "left_anti")
+                new[name] = cut(kept.unionByName(df))
+            for name, df in new.items():
+                self._clear(name, parts.join(df.select("part").distinct(), "part", "left_anti"))
+        for name, df in new.items():
+            df.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.state}/{name}")
+
+    def _clear(self, name: str, parts: DataFrame) -> None:
+        """Removes parts that hold nothing any more; there are at most self.parts of them."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for (part,) in parts.collect():
+            path = hadoop(f"{self.state}/{name}/part={part}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def run(self, root: str) -> None:
         """Takes in everything new under root and stops."""

@@ -7,7 +7,7 @@ import pytest
 
 from murmura.engine import Engine
 from murmura.operators import entity
-from murmura.sources import export
+from murmura.sources import export, runs
 from murmura.streaming.ingest import Ingest
 
 
@@ -107,6 +107,23 @@ def test_stream_equals_rebuild(spark, root):
     assert state.read("sightings").count() == 6
 
 
+def test_stream_of_single_files_equals_rebuild(spark, root):
+    """One run file per batch: a batch renews only what its keys reach, and other items stay."""
+    other = root / "runs" / "pump" / "20260304-100000"
+    other.mkdir(parents=True)
+    run = {"run_id": "pump_20260304-100000", "keyword": "pump", "status": "completed", "browser_utc_offset_minutes": 0}
+    (other / "results.json").write_text(json.dumps({"run": run, "results": [record(1, "A pump that has nothing to do with the rest", f"{SITE}/groups/77/posts/50/")]}))
+    state = Ingest(spark, str(root / "single"), parts=3)
+    docs = runs.documents(spark, str(root / "runs"))
+    for number, path in enumerate(sorted(r.path for r in docs.select("path").collect())):
+        state.add(docs.where(docs["path"] == path), number)
+    assert state.touched(2).count() == 1
+    batch = Engine.of_runs(spark, str(root / "runs"))
+    columns = ["item_id", "url_key", "content_key", "author_name", "text", "posted_at", "times_seen"]
+    assert sorted(map(str, state.read("items").select(columns).collect())) == sorted(map(str, batch.tables.items.select(columns).collect()))
+    assert state.read("sightings").count() == 7 and state.read("runs").count() == 3
+
+
 def test_labels_and_export(spark, root):
     engine = Engine.of_runs(spark, str(root / "runs"))
     assert engine.label_queue().count() == 4
