@@ -70,7 +70,7 @@ SPELLINGS = {
 }
 _CODE = {spelling: code for code, names in SPELLINGS.items() for spelling in names.split()}
 
-_SPLIT = re.compile(r"(?:(?<=[.!?؟।۔…])(?<!\bno\.)(?<!\bNo\.)(?<!\bNO\.)(?<!\bst\.)(?<!\bSt\.)(?<!\bST\.)[\"'”’)\]]*\s+|\n\s*)(?=\S)")
+_SPLIT = re.compile(r"(?:(?<=[.!?؟।۔…])(?<!\bno\.)(?<!\bNo\.)(?<!\bNO\.)(?<!\bst\.)(?<!\bSt\.)(?<!\bST\.)[\"'”’)\]]*\s+|\n+)")
 _CODED = re.compile(r"(?<!\S)[^\s\d@#/_]*+[\d@#/_]\S*")
 _ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?[ً-ٕऀ-ःऺ-ॏ]*(?:[^\W\d_]*[ً-ٕऀ-ःऺ-ॏ]*)*")

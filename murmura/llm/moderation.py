@@ -61,7 +61,7 @@ _LEET = {
 _ANY = "*#%_"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SUSPECT = re.compile(r"[@$*|€#%]|[^\W\d_][0134578+!]+[^\W\d_]|(?<![\w-])[0134578][^\W\d_]{3}|[^\W\d_]{3}[0134578](?!\w)|([^\W\d])\1\1|(?<!\w)[^\W\d_](?:[.\-_ *][^\W\d_](?!\w)){2}")
-_SPACED = re.compile(r"(?<![\w@$*])[\w@$*!](?:([.\-_ *])[\w@$*!])(?:\1[\w@$*!]){1,}(?![\w@$*])")
+_SPACED = re.compile(r"(?<![\w@$*])[\w@$*!](?:([.\-_ *])[\w@$*!])(?:\1[\w@$*!]){1,30}+(?![\w@$*])")
 _TOKEN = re.compile(r"[^\s,;:?\"“”()\[\]<>/]+")
 _PART = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?؟।۔…])\s+|\n+")
@@ -69,6 +69,7 @@ _CODE = re.compile(r"\d\d|@[\w.-]+\.\w|^\d+\w$|\w-\d")  # model codes, quantitie
 _SIGN = re.compile(r"[^\W\d_].*[@$*!|0134578+€#%]\S|[@$*!|0134578+€#%].*[^\W\d_]|[^\W\d_]{2}[@$*|013457€#%]$")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 ORDER, BEAM, GIVE_UP = 7, 96, 24
+LONGEST = 40  # a longer token is no disguised word; no listed word is longer than this
 
 
 def plain(text: str) -> str:
@@ -194,6 +195,8 @@ def _joined(run: str, mark: str) -> str:
 
 @lru_cache(maxsize=1 << 16)
 def _disguised(token: str) -> bool:
+    if len(token) > LONGEST:
+        return False
     return not token.isalpha() and _SIGN.search(token) is not None and _CODE.search(token) is None or _THRICE.search(token) is not None
 
 
@@ -220,7 +223,7 @@ def _entries_of(word: str) -> tuple:
     """The lexicon entries that a word may belong to."""
     exact, stems, _ = _rules()
     found = list(exact.get(word, ()))
-    for k in range(3, len(word) + 1):
+    for k in range(3, min(len(word), LONGEST) + 1):
         found += stems.get(word[:k], ())
     return tuple(found)
 

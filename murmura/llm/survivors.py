@@ -32,11 +32,12 @@ DIMENSIONS = ("d_text", "d_time", "d_image", "d_seen", "d_trust")
 DAMAGED_SLACK = 0.93
 
 # Interface labels that get copied behind a text.
-LABELS = r"See more|See More|See less|See Less|Most relevant|View more comments|See translation|All reactions:?|Write a comment(?:…|\.\.\.)?|Like|Share|Reply|Facepage|Comment|Follow|\d+ ?[hdwm]"
+LABELS = r"See more|See More|See less|See Less|Most relevant|View more comments|See translation|All reactions:?|Write a comment(?:…|\.\.\.)?|Like|Share|Reply|Facepage|Comment|Follow|\d{1,4} ?[hdwm]"
 _TAIL = re.compile(rf"(?:[\s·]*(?:{LABELS}))+[\s·]*$")
 _CUT = re.compile(r"(?:…|\.\.\.)\s*(?:See [Mm]ore)?\s*$|\bSee [Mm]ore\s*$")
 _BROKEN = re.compile("\ufffd|(?:\\?[ ,.]*){4,}|\\?{3,}")
-_QUOTE = re.compile(r"says?:? (?:'(.+)'|\"(.+)\"|“(.+)”|‘(.+)’)\s*$", re.S)
+_OPENING = re.compile(r"says?:? (['\"“‘])")
+_CLOSING = {"'": "'", '"': '"', "“": "”", "‘": "’"}
 
 
 def text_state(text: str | None) -> tuple[int, int, int]:
@@ -54,8 +55,11 @@ def text_state(text: str | None) -> tuple[int, int, int]:
 
 def quote_length(image_text: str | None) -> int:
     """Length of what an image text quotes; -1 if it quotes nothing or the quote is cut."""
-    found = _QUOTE.search(image_text or "")
-    return len(next(g for g in found.groups() if g is not None)) if found else -1
+    text = (image_text or "").rstrip()
+    for found in _OPENING.finditer(text):
+        if text.endswith(_CLOSING[found[1]]) and len(text) - 1 > found.end():
+            return len(text) - 1 - found.end()
+    return -1
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("whole", "intact", "broken", "length")]))

@@ -27,12 +27,14 @@ LOOKALIKE = str.maketrans(CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1])
 _FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 _CONFUSED = regex.compile(rf"[\p{{Latin}}\p{{M}}\p{{Nd}}{CYRILLIC[0]}{GREEK[0]}]+")
-_IGNORABLE = regex.compile("[\\p{Default_Ignorable_Code_Point}\ufeff]+")
-_EMOJI_JOIN = regex.compile("(?<=\\p{Extended_Pictographic}[\ufe0f\U0001f3fb-\U0001f3ff]?)\u200d(?=\\p{Extended_Pictographic})")
-_SCRIPT_JOIN = regex.compile("(?<=[\\p{Arabic}\\p{Devanagari}\\p{Bengali}])[\u200c\u200d](?=[\\p{Arabic}\\p{Devanagari}\\p{Bengali}])")
+# Joiners that show: inside emoji sequences and between letters of joining scripts. They are the first group.
+_IGNORABLE = regex.compile(
+    "((?<=\\p{Extended_Pictographic}[\ufe0f\U0001f3fb-\U0001f3ff]?)\u200d(?=\\p{Extended_Pictographic})"
+    "|(?<=[\\p{Arabic}\\p{Devanagari}\\p{Bengali}])[\u200c\u200d](?=[\\p{Arabic}\\p{Devanagari}\\p{Bengali}]))"
+    "|[\\p{Default_Ignorable_Code_Point}\ufeff]"
+)
 _BLANK = regex.compile(r"[\p{Zs}\t]")
 _SPACE = regex.compile(r"\s+")
-_KEEP = "\ue000", "\ue001", "\ue002"  # stand for the joiners that stay
 # Decompositions that change the look of a character.
 _LOOKS_OTHER = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 
@@ -52,16 +54,13 @@ def visible(text: str) -> str:
     """What a reader sees of text, one spelling for all spellings that look the same."""
     if text.isascii():
         return text.replace("\t", " ")
-    if "\u200c" in text or "\u200d" in text:
-        text = _EMOJI_JOIN.sub(_KEEP[0], text)
-        text = _SCRIPT_JOIN.sub(lambda m: _KEEP[1] if m[0] == "\u200c" else _KEEP[2], text)
-    text = _IGNORABLE.sub("", text)
+    text = _IGNORABLE.sub(lambda m: m[1] or "", text)
     if not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFC", "".join([c if c.isascii() else _plain(c) for c in text]))
     text = _BLANK.sub(" ", text)
     if _FOREIGN.search(text):
         text = unicodedata.normalize("NFC", _WORD.sub(_latin, text))
-    return text.replace(_KEEP[0], "\u200d").replace(_KEEP[1], "\u200c").replace(_KEEP[2], "\u200d")
+    return text
 
 
 def canonical(text: str) -> str:
