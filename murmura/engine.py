@@ -52,8 +52,13 @@ class Engine:
         for name, df in self.tables.__dict__.items():
             df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
-    def items(self, limit: int | None = 20, offset: int = 0, text_chars: int = 400, **filters) -> DataFrame:
-        return items.page(self.tables, Filters(**filters), limit, offset, text_chars)
+    def items(self, limit: int | None = 20, offset: int = 0, text_chars: int = 400, root: str | None = None, **filters) -> DataFrame:
+        return items.page(self.tables, Filters(**filters), limit, offset, text_chars, root)
+
+    def reclassified(self, version: str | None) -> Engine:
+        """The engine with content types by today's rules, where version (that of the stored types) is another."""
+        t = self.tables
+        return Engine(Tables(entity.reclassified(t.items, t.sightings, version), t.sightings, t.runs, t.labels))
 
     def count(self, **filters) -> int:
         return items.filtered(self.tables, Filters(**filters)).count()

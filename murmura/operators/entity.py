@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from murmura.functions import fixed_values as V
 from murmura.functions import text as X
 from murmura.functions import times, urls
-from murmura.functions.content import classify
+from murmura.functions.content import classify, rules_version
 from murmura.functions.language import detect_language
 from murmura.operators.items import seen_spans
 from murmura.session import cut
@@ -190,6 +190,16 @@ def enriched(items: DataFrame, sightings: DataFrame) -> DataFrame:
     return out.withColumn("_t", typed).select("*", "_t.*").drop("_t", "_keywords")
 
 
+def reclassified(items: DataFrame, sightings: DataFrame, version: str | None) -> DataFrame:
+    """Items with their content types found anew if version is not that of today's rules; else as they are."""
+    if version == rules_version():
+        return items
+    keywords = sightings.where("keyword is not null").groupBy("item_id").agg(F.collect_set("keyword").alias("_keywords"))
+    rows = items.drop("content_type", "content_reason").join(keywords, "item_id", "left")
+    typed = F.when(F.col("kind") != "profile", classify(*[F.col(c) for c in ("text", "image_text", "author_name", "_keywords", "kind")]))
+    return rows.withColumn("_t", typed).select("*", "_t.*").drop("_t", "_keywords").select(items.columns)
+
+
 def resolved(records: DataFrame) -> dict[str, DataFrame]:
     """items, sightings and outcomes of records(seq, run_id, record_id, run_keyword, …) in import order."""
     ready = cut(keyed(repaired(records)))

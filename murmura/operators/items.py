@@ -146,12 +146,17 @@ def newest_first(items: DataFrame) -> DataFrame:
     return items.orderBy(F.desc_nulls_last("posted_at"), F.desc_nulls_last("last_seen"), "item_id")
 
 
-def page(t: Tables, f: Filters, limit: int | None = 20, offset: int = 0, text_chars: int = 400) -> DataFrame:
-    """A page of items with details; without a limit everything, and the offset is ignored."""
+def page(t: Tables, f: Filters, limit: int | None = 20, offset: int = 0, text_chars: int = 400, root: str | None = None) -> DataFrame:
+    """A page of items with details; without a limit everything, and the offset is ignored.
+
+    With the dataset's root, screenshot_file holds the full path of each screenshot.
+    """
     chosen = newest_first(filtered(t, f))
     if limit:
         chosen = chosen.offset(max(offset, 0)).limit(limit)
     out = with_details(t, chosen, f.keyword).withColumn("text", truncated(F.col("text"), text_chars))
+    if root:
+        out = out.withColumn("screenshot_file", F.concat(F.lit(root.rstrip("/") + "/"), F.nullif("screenshot_path", F.lit(""))))
     return newest_first(out).drop("url_key", "content_key")
 
 

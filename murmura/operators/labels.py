@@ -62,7 +62,7 @@ def checked(t: Tables, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def upserted(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """Labels after new ones; per item and keyword without ASCII case the newest wins, new before old on a tie."""
+    """Labels after new ones: per item and keyword without ASCII case a new label replaces an old one, the newest of several wins."""
     both = labels.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     key = [F.col("item_id"), ascii_lower(F.col("keyword"))]
     fields = ["keyword", "sentiment", "reason", "labeler", "labeled_at"]

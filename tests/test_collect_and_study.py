@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmura.engine import Engine
-from murmura.functions import listings
+from murmura.functions import content, listings
 from murmura.operators import collect, labels
 from murmura.plans import queries
 from murmura.plans.study import Study
@@ -65,6 +65,15 @@ def test_open_and_save(spark, tmp_path):
     assert {n: df.count() for n, df in engine.statistics(include_types="all").items()}["totals"] == 1
 
 
+def test_reclassified(spark):
+    engine = Engine.of_parquet(spark, "/root/testdata/sf0.001")
+    assert engine.reclassified(content.rules_version()).tables.items is engine.tables.items
+    anew = engine.reclassified("older").tables.items
+    assert anew.columns == engine.tables.items.columns and anew.where("kind = 'marketplace' and content_type <> 'marketplace'").count() == 0
+    shown = engine.items(limit=3, root="/data/").where("screenshot_path is not null").first()
+    assert shown.screenshot_file == f"/data/{shown.screenshot_path}"
+
+
 def test_listing_details(spark):
     records = spark.createDataFrame([("u", "Hose", None, None, None, None, None), ("v", None, "new", "T", "Ann", "x", "1d")], "post_url string, text string, condition string, location string, author_name string, author_url string, time_text string")
     pages = spark.createDataFrame([("u", "Listed 2 days ago in Townville\nDetails\nCondition\nUsed\nStill fine", "Bob", "https://x.example/b")], "post_url string, page_text string, seller_name string, seller_url string")
