@@ -114,28 +114,27 @@ def _mixed(values: np.ndarray, *seeds: int) -> np.ndarray:
 _NO_HASHES = np.empty(0, np.uint64)
 
 
-def _features(text: str | None) -> tuple[int | None, np.ndarray, np.ndarray, np.ndarray, bool]:
-    """(hash of the whole text, word-pair hashes, paragraph hashes, minimum hashes, whether it has one or two
-    sentences); null and nothing for short texts."""
+def _features(text: str | None) -> tuple[int | None, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the whole text, word-pair hashes, paragraph hashes, minimum hashes); null and nothing for short texts."""
     found = [w for w in map(_WORD.findall, _SENTENCE.split(visible(text).casefold())) if w] if text else []
     words = [w for sentence in found for w in sentence]
     if sum(map(len, words)) < MIN_LETTERS:
-        return None, np.empty(0, np.int32), _NO_HASHES, _NO_HASHES, True
+        return None, np.empty(0, np.int32), _NO_HASHES, _NO_HASHES
     known = _words.get
     hashes = np.array([known(w) or _word(w) for w in words], np.uint64)
     whole = xxhash.xxh64_intdigest(hashes.tobytes())
     if len(words) < 2:
-        return whole, np.zeros(1, np.int32), np.array([whole], np.uint64), _NO_HASHES, True
+        return whole, np.zeros(1, np.int32), _NO_HASHES, _NO_HASHES
     pairs = np.unique(((hashes[:-1] * _ODD[0] + hashes[1:] * _ODD[1]) >> np.uint64(33)).astype(np.int32))
     sizes = [len(w) for w in found]
     ends = np.cumsum(sizes)
     digits = np.add.reduceat(hashes & np.uint64(1), np.concatenate([[0], ends[:-1]])).tolist()
     parts = {(-d, -n, xxhash.xxh64_intdigest(hashes[e - n : e].tobytes())) for d, n, e in zip(digits, sizes, ends.tolist(), strict=True)}
-    chosen = [h for _, n, h in sorted(parts)[: len(parts) // 2 + 1] if n <= -3]
+    chosen = [h for _, _, h in sorted(parts)[: len(parts) // 2 + 1]]
     width = min(SHINGLE, len(words))
     shingles = sum(hashes[k : len(hashes) - width + 1 + k] * _ODD[3 + k] for k in range(width))
     least = ((shingles ^ (shingles >> np.uint64(29)))[None, :] * _ODD[3 + SHINGLE : 3 + SHINGLE + MIN_HASHES, None]).min(axis=1)
-    return whole, pairs, np.array(chosen, np.uint64), least + np.arange(MIN_HASHES, dtype=np.uint64), len(found) < 3
+    return whole, pairs, np.array(chosen, np.uint64), least + np.arange(MIN_HASHES, dtype=np.uint64)
 
 
 FIELDS = ("item_id", "first_run_id", "url_key", "content_key", "kind", "group_url", "parent_post_url", "author_name", "text")
@@ -161,7 +160,7 @@ class _Classes:
         if len(self.names) > 1 << 18:
             self.names.clear()
         name = self.names[a] if a in self.names else self.names.setdefault(a, author_of(a))
-        whole, pairs, parts, least, brief = _features(t) if scope else (None, np.empty(0, np.int32), _NO_HASHES, _NO_HASHES, True)
+        whole, pairs, parts, least = _features(t) if scope else (None, np.empty(0, np.int32), _NO_HASHES, _NO_HASHES)
         own = _hash(post, scope, name, c, whole, *([] if whole is not None else [t]))
         head = (own, _hash(post) if post else None, scope is not None, name is not None, _hash(name) if name is not None else None, _hash(scope, c) if scope and c else None)
         if own in self.met or scope is None:
@@ -170,12 +169,12 @@ class _Classes:
         if len(self.met) < 1 << 20:
             self.met.add(own)
         where = xxhash.xxh64_intdigest(scope)
-        shared = np.append(parts, np.uint64(xxhash.xxh64_intdigest(c))) if c else parts
+        shared = np.concatenate([parts, least, np.array(([] if whole is None else [whole]) + ([xxhash.xxh64_intdigest(c)] if c else []), np.uint64)])
         # Classes with an author meet others of the same author; one without meets all of its scope (open keys).
-        keys = [_mixed(np.append(shared, least), where, xxhash.xxh64_intdigest(name))] if name is not None else []
+        keys = [_mixed(shared, where, xxhash.xxh64_intdigest(name))] if name is not None else []
         if post:
             keys.append(np.array([_hash("id", post)], np.int64))
-        return head, pairs, np.concatenate(keys) if keys else np.empty(0, np.int64), _mixed(np.append(shared, least) if brief else shared, where)
+        return head, pairs, np.concatenate(keys) if keys else np.empty(0, np.int64), _mixed(shared, where)
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

@@ -117,3 +117,15 @@ def test_copies_in_salted_classes(spark, monkeypatch):
     df = spark.createDataFrame(rows, FIELDS)
     runs = spark.createDataFrame([("r0", "2026-01-01T00:00:00Z")], "run_id string, imported_at string")
     assert {tuple(r) for r in history.repeated_posts(df, runs, 2).collect()} == brute(rows)
+
+
+SHORT_SENTENCES = ["Rs 4500. Call 03001234567. Solar panel for sale in good condition.", "Price please? Thank you! Inbox me.", "Yes sure. Still new. Price please? Thank you! Inbox me."]
+
+
+@pytest.mark.parametrize("batches", [1, 2])
+def test_texts_of_short_sentences_without_an_author(spark, batches):
+    rows = [(f"i{k}{n}", f"r{n}", None, None, "group_post", f"https://x.example/groups/{k}/", None, name, text, "") for k, text in enumerate(SHORT_SENTENCES) for n, name in enumerate(["Ann Lee", None])]
+    rows.append(("i20", "r2", None, None, "group_post", "https://x.example/groups/2/", None, None, SHORT_SENTENCES[2].replace("new", "sealed"), ""))
+    df = spark.createDataFrame(rows, FIELDS)
+    runs = spark.createDataFrame([(f"r{k}", f"2026-01-{k + 1:02}T00:00:00Z") for k in range(3)], "run_id string, imported_at string")
+    assert {tuple(r) for r in history.repeated_posts(df, runs, batches).collect()} == brute(rows)
