@@ -2,11 +2,9 @@
 
 Accepted rows are kept as hashes in bucketed tables. A row belongs to a class of rows that are alike in scope,
 author, content, text and post id; copies share a class, and links are found between classes only. Each class has
-keys: its post id, its content key and whole text, hashes of its paragraphs (sentences; by a fixed order the
-specific half of them, of which texts that share most sentences must share one), and minimum hashes of its
-shingles for texts with small edits. Links by id, content key, whole text or a majority of equal sentences are
-complete; those of texts whose sentences are mostly edited are found with the chance of a shared minimum hash
-(0.87 at a shingle similarity of 0.4 with four hashes, 0.97 at 0.6). A new batch is joined bucket-locally to the key table, candidates are
+keys: its post id, its content key, and a prefix of its text's word pairs. The pairs stand in one fixed order (those
+of words with digits and of long words first); texts that share ``COVER`` of the larger one's pairs share one of
+the first pairs of both, so all links are found. A new batch is joined bucket-locally to the key table, candidates are
 verified on the classes' word-pair hashes, and the batch's classes and keys are appended.
 
 Two rows are the same post if their URL keys name one post or comment, or if at least one names none (or only a
@@ -22,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import math
 import re
 
 import numpy as np
@@ -36,8 +35,6 @@ from murmura.session import cut, shared_path
 
 COVER = 0.5
 MIN_LETTERS = 12
-MIN_HASHES = 4
-SHINGLE = 3
 MEMBERS_PER_SALT = 2000
 
 # Interface labels that stand in place of a name.
@@ -90,16 +87,16 @@ def author_of(name: str | None) -> str | None:
 
 
 _MASK64 = (1 << 64) - 1
-_ODD = np.array([_hash("odd", k) | 1 for k in range(MIN_HASHES + SHINGLE + 4)], np.int64).view(np.uint64)
+_ODD = np.array([_hash("odd", k) | 1 for k in range(3)], np.int64).view(np.uint64)
 _SENTENCE = re.compile(r"(?<=[.!?؟।۔…])\s+|\n+")
 _words: dict[str, int] = {}
 
 
 def _word(word: str) -> int:
-    """Hash of a word; its last bit tells whether it has a digit."""
+    """Hash of a word; its last six bits are the higher the rarer such words are: a digit, then the length."""
     if len(_words) > 1 << 20:
         _words.clear()
-    made = _words[word] = (xxhash.xxh64_intdigest(word) & ~1) | any(map(str.isdigit, word))
+    made = _words[word] = (xxhash.xxh64_intdigest(word) & ~63) | any(map(str.isdigit, word)) << 5 | min(len(word), 31)
     return made
 
 
@@ -111,30 +108,24 @@ def _mixed(values: np.ndarray, *seeds: int) -> np.ndarray:
     return values.view(np.int64)
 
 
-_NO_HASHES = np.empty(0, np.uint64)
-
-
-def _features(text: str | None) -> tuple[int | None, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the whole text, word-pair hashes, paragraph hashes, minimum hashes); null and nothing for short texts."""
-    found = [w for w in map(_WORD.findall, _SENTENCE.split(visible(text).casefold())) if w] if text else []
-    words = [w for sentence in found for w in sentence]
+def _features(text: str | None) -> tuple[int | None, np.ndarray]:
+    """(hash of the whole text, word-pair hashes in the fixed order); null and nothing for short texts."""
+    words = [w for sentence in _SENTENCE.split(visible(text).casefold()) for w in _WORD.findall(sentence)] if text else []
     if sum(map(len, words)) < MIN_LETTERS:
-        return None, np.empty(0, np.int32), _NO_HASHES, _NO_HASHES
+        return None, np.empty(0, np.int32)
     known = _words.get
     hashes = np.array([known(w) or _word(w) for w in words], np.uint64)
     whole = xxhash.xxh64_intdigest(hashes.tobytes())
     if len(words) < 2:
-        return whole, np.zeros(1, np.int32), _NO_HASHES, _NO_HASHES
-    pairs = np.unique(((hashes[:-1] * _ODD[0] + hashes[1:] * _ODD[1]) >> np.uint64(33)).astype(np.int32))
-    sizes = [len(w) for w in found]
-    ends = np.cumsum(sizes)
-    digits = np.add.reduceat(hashes & np.uint64(1), np.concatenate([[0], ends[:-1]])).tolist()
-    parts = {(-d, -n, xxhash.xxh64_intdigest(hashes[e - n : e].tobytes())) for d, n, e in zip(digits, sizes, ends.tolist(), strict=True)}
-    chosen = [h for _, _, h in sorted(parts)[: len(parts) // 2 + 1]]
-    width = min(SHINGLE, len(words))
-    shingles = sum(hashes[k : len(hashes) - width + 1 + k] * _ODD[3 + k] for k in range(width))
-    least = ((shingles ^ (shingles >> np.uint64(29)))[None, :] * _ODD[3 + SHINGLE : 3 + SHINGLE + MIN_HASHES, None]).min(axis=1)
-    return whole, pairs, np.array(chosen, np.uint64), least + np.arange(MIN_HASHES, dtype=np.uint64)
+        return whole, np.array([whole >> 33], np.int32)
+    pairs = (hashes[:-1] * _ODD[0] + hashes[1:] * _ODD[1]) >> np.uint64(33)
+    rank = np.uint64(127) - (hashes[:-1] & np.uint64(63)) - (hashes[1:] & np.uint64(63))
+    return whole, (np.unique(rank << np.uint64(32) | pairs) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+
+
+def _prefix(pairs: np.ndarray) -> np.ndarray:
+    """The first pairs, of which a text that shares ``COVER`` of the pairs must have one among its own first."""
+    return pairs[: len(pairs) - math.ceil(COVER * len(pairs)) + 1].astype(np.uint64)
 
 
 FIELDS = ("item_id", "first_run_id", "url_key", "content_key", "kind", "group_url", "parent_post_url", "author_name", "text")
@@ -160,7 +151,7 @@ class _Classes:
         if len(self.names) > 1 << 18:
             self.names.clear()
         name = self.names[a] if a in self.names else self.names.setdefault(a, author_of(a))
-        whole, pairs, parts, least = _features(t) if scope else (None, np.empty(0, np.int32), _NO_HASHES, _NO_HASHES)
+        whole, pairs = _features(t) if scope else (None, np.empty(0, np.int32))
         own = _hash(post, scope, name, c, whole, *([] if whole is not None else [t]))
         head = (own, _hash(post) if post else None, scope is not None, name is not None, _hash(name) if name is not None else None, _hash(scope, c) if scope and c else None)
         if own in self.met or scope is None:
@@ -169,7 +160,7 @@ class _Classes:
         if len(self.met) < 1 << 20:
             self.met.add(own)
         where = xxhash.xxh64_intdigest(scope)
-        shared = np.concatenate([parts, least, np.array(([] if whole is None else [whole]) + ([xxhash.xxh64_intdigest(c)] if c else []), np.uint64)])
+        shared = np.append(_prefix(pairs), np.uint64(xxhash.xxh64_intdigest(c))) if c else _prefix(pairs)
         # Classes with an author meet others of the same author; one without meets all of its scope (open keys).
         keys = [_mixed(shared, where, xxhash.xxh64_intdigest(name))] if name is not None else []
         if post:

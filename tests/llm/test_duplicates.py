@@ -129,3 +129,20 @@ def test_texts_of_short_sentences_without_an_author(spark, batches):
     df = spark.createDataFrame(rows, FIELDS)
     runs = spark.createDataFrame([(f"r{k}", f"2026-01-{k + 1:02}T00:00:00Z") for k in range(3)], "run_id string, imported_at string")
     assert {tuple(r) for r in history.repeated_posts(df, runs, batches).collect()} == brute(rows)
+
+
+def test_small_edits_in_brief_texts(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdgklmnprst" for b in "aeiou" for c in "nrst"]
+    rows = []
+    for k in range(300):
+        text = rng.choices(words, k=rng.randrange(8, 14))
+        edited = [*text]
+        for n in rng.sample(range(1, len(text) - 1), rng.randrange(1, 3)):
+            edited[n] += "x"
+        for n, (line, author) in enumerate([(text, "Ann Lee"), (edited, rng.choice(["Ann Lee", None]))]):
+            rows.append((f"i{k:03}{n}", f"r{n}", None, None, "group_post", f"https://x.example/groups/{k % 7}/", None, author, " ".join(line), ""))
+    rows += [("j0", "r0", None, None, "group_post", "https://x.example/groups/0/", None, None, "Disconnectedly", ""), ("j1", "r1", None, None, "group_post", "https://x.example/groups/0/", None, None, "Reestablishments", "")]
+    runs = spark.createDataFrame([(f"r{k}", f"2026-01-{k + 1:02}T00:00:00Z") for k in range(2)], "run_id string, imported_at string")
+    want = brute(rows)
+    assert len(want) > 250 and {tuple(r) for r in history.repeated_posts(spark.createDataFrame(rows, FIELDS), runs, 2).collect()} == want
