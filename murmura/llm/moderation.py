@@ -14,6 +14,7 @@ import math
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -68,8 +69,9 @@ _SENTENCE = re.compile(r"(?<=[.!?؟।۔…])\s+|\n+")
 _CODE = re.compile(r"\d\d|@[\w.-]+\.\w|^\d+\w$|\w-\d")  # model codes, quantities and addresses are no disguise
 _SIGN = re.compile(r"[^\W\d_].*[@$*!|0134578+€#%]\S|[@$*!|0134578+€#%].*[^\W\d_]|[^\W\d_]{2}[@$*|013457€#%]$")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
-ORDER, BEAM, GIVE_UP = 7, 96, 24
-LONGEST = 40  # a longer token is no disguised word; no listed word is longer than this
+_STRETCH = re.compile(r"([^\W\d_])(?:[.\-']?\1){3,}|([.\-'])[.\-']+")  # no listed word has a letter four times in a row
+ORDER = 7
+LONGEST = 40  # no listed word is longer than this
 
 
 def plain(text: str) -> str:
@@ -110,6 +112,10 @@ class Letters:
             p *= kinds / (seen + kinds)
         return -math.log2(p / 64)
 
+    def state(self, done: str) -> str:
+        """The longest known context that done ends with; what follows depends on nothing else."""
+        return next(c for k in range(max(len(done) - ORDER, 0), len(done) + 1) if (c := done[k:]) in self._tree)
+
 
 @lru_cache(maxsize=1)
 def _letters() -> tuple[Letters, frozenset[str], str]:
@@ -153,31 +159,41 @@ def restore(token: str) -> str:
     core = token.strip(".,;:?!'\"-")
     core = token if any(c in _LEET or c in _ANY for c in token.strip(".,;:?'\"-")) else core
     core = core.rstrip(".,;:?'\"")
-    if len(core) > GIVE_UP or len(core) < 3:
+    core = _unstretched(core)
+    if len(core) < 3 or len(core) > 6 * LONGEST:  # a letter three times with marks between takes six places
         return token
-    if not _shape(core).search(_letters()[2]):  # no listed word has this shape, so none can come out
+    fitting = _shape(core).findall(_letters()[2])
+    if not fitting:  # no listed word has this shape, so none can come out
         return token
-    beam: dict[tuple[str, str], float] = {("^", ""): 0.0}  # (restored so far, last character read) -> bits
+    starts = {f"^{w[:k]}" for w in fitting for k in range(len(w) + 1)}
+    best = min((end for end in _ends(core, lambda done: done if done in starts else None) if end[1] in listed), default=None)
+    # All other words that are as likely; a path that costs more than the listed word can only become worse.
+    return token if best is None or min(_ends(core, model.state, best[0] + 1e-9))[1] != best[1] else best[1]
+
+
+def _unstretched(token: str) -> str:
+    """Letter runs cut to three, which all readings by listed words outlast at the same cost; runs of marks to one."""
+    return _STRETCH.sub(lambda m: m[1] * 3 if m[1] else m[2], token)
+
+
+def _ends(core: str, state_of: Callable[[str], str | None], limit: float = math.inf) -> list[tuple[float, str]]:
+    """(bits, word) of the best path to each state (None: no path) and last character read, up to limit."""
+    model = _letters()[0]
+    paths: dict[tuple[str, str], tuple[float, str]] = {("^", ""): (0.0, "^")}  # -> bits, restored so far
     for char in core:
         if char in ".-'" or (char == "_" and "*" not in core):
             continue
         reads = _readings(char)
-        if not reads:
-            return token
-        step: dict[tuple[str, str], float] = {}
-        for (done, last), bits in beam.items():
-            if char == last and char.isalpha():  # a repetition may stand for one letter
-                key = (done, char)
-                if bits + 1 < step.get(key, math.inf):
-                    step[key] = bits + 1
+        step: dict[tuple[str, str], tuple[float, str]] = {}
+        for (state, last), (bits, done) in paths.items():
+            if char == last and char.isalpha() and bits + 1 <= limit:  # a repetition may stand for one letter
+                step[state, char] = min(step.get((state, char), (math.inf, "")), (bits + 1, done))
             for letter, cost in reads:
-                key, total = (done + letter, char), bits + cost + model.bits(done[-ORDER:], letter)
-                if total < step.get(key, math.inf):
-                    step[key] = total
-        beam = dict(sorted(step.items(), key=lambda x: x[1])[:BEAM])
-    ends = sorted((bits + model.bits(done[-ORDER:], "$"), done[1:]) for (done, _), bits in beam.items())
-    best = ends[0][1]
-    return best if best in listed else token
+                total = bits + cost + model.bits(state[-ORDER:], letter)
+                if total <= limit and (known := state_of(done + letter)) is not None:
+                    step[known, char] = min(step.get((known, char), (math.inf, "")), (total, done + letter))
+        paths = step
+    return [(bits + model.bits(state[-ORDER:], "$"), done[1:]) for (state, _), (bits, done) in paths.items()]
 
 
 def restored(low: str) -> str:
@@ -195,7 +211,8 @@ def _joined(run: str, mark: str) -> str:
 
 @lru_cache(maxsize=1 << 16)
 def _disguised(token: str) -> bool:
-    if len(token) > LONGEST:
+    token = _unstretched(token)
+    if len(token.strip(".,;:?'\"-")) > 6 * LONGEST:
         return False
     return not token.isalpha() and _SIGN.search(token) is not None and _CODE.search(token) is None or _THRICE.search(token) is not None
 

@@ -81,6 +81,18 @@ def test_moderation(text, category):
     assert (moderation.CATEGORIES[s.index(max(s))] if max(s) >= moderation.THRESHOLD else None) == category
 
 
+@pytest.mark.parametrize("token", ["stu" + "u" * 30 + "pid", "s" * 50 + "tupid", "st" + "u-" * 40 + "upid", "i" * 12 + "d" * 12 + "i0" + "t" * 20, "m*r*n", "id**t"])
+def test_stretched_words_of_any_length(token):
+    assert moderation.restored(token) in ("stupid", "idiot", "moron")
+    listed = moderation._letters()[1]
+    assert max(map(len, listed)) <= moderation.LONGEST and not any(4 * x in w for w in listed for x in w)
+
+
+def test_long_tokens_that_stand_for_no_word():
+    for token in ("ab" * 50_000 + "!", "a.b" * 30_000 + "@", "q*" * 60, "*" * 200):
+        assert moderation.restored(token) == token
+
+
 def test_moderation_tables(spark):
     df = spark.createDataFrame([("a", "g", "You are a moron", "x"), ("b", "g", "fine", "x"), ("c", None, None, "x"), ("c", None, None, "x")], "item_id string, group_name string, text string, s string")
     assert {r.item_id for r in moderation.scored(df).where("score >= 1").collect()} == {"a"} and moderation.scored(df).count() == 4
