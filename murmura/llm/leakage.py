@@ -16,7 +16,6 @@ document row gives its rows again, an item at most once per row.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 from collections import defaultdict
@@ -128,24 +127,25 @@ class Index:
         """Share of the item's words on the best chain of shingles common to both, in the order of both."""
         words = self.items[item][1]
         pairs = sorted((d, -i) for s, at in self.places[item].items() if s in shingles for i in at for d in shingles[s])
-        # Longest chain strictly rising in both places; ties in the document keep the later item place first.
-        ends: list[int] = []
-        last: list[int] = []
-        before = [-1] * len(pairs)
-        for k, (_, minus) in enumerate(pairs):
-            at = bisect.bisect_left(ends, -minus)
-            before[k] = last[at - 1] if at else -1
-            if at == len(ends):
-                ends.append(-minus)
-                last.append(k)
-            else:
-                ends[at], last[at] = -minus, k
-        covered: set[int] = set()
-        k = last[-1] if last else -1
-        while k >= 0:
-            covered.update(range(-pairs[k][1], -pairs[k][1] + SHINGLE))
-            k = before[k]
-        return len(covered) / len(words)
+        # Heaviest chain strictly rising in both places; ties in the document take the later item place first.
+        ending = [0] * len(words)  # most words of a chain that ends at an item place
+        most = [0] * (len(words) + 1)  # Fenwick maxima of the same
+        for _, minus in pairs:
+            at = -minus
+            best, k = 0, at - SHINGLE + 1  # chains whose last shingle does not overlap
+            while k > 0:
+                best = max(best, most[k])
+                k &= k - 1
+            best += SHINGLE
+            for step in range(1, min(SHINGLE, at + 1)):
+                if ending[at - step]:
+                    best = max(best, ending[at - step] + step)
+            if best > ending[at]:
+                ending[at], k = best, at + 1
+                while k <= len(words):
+                    most[k] = max(most[k], best)
+                    k += k & -k
+        return max(ending) / len(words)
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, float]]:
         """(place in texts, item, coverage) of every leak."""

@@ -232,6 +232,24 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(df.limit(0), held).count() == 0 and leakage.leaks(df, held.limit(0)).count() == 0
 
 
+def test_chains_are_weighted_by_the_words_they_add():
+    rng = random.Random(6)
+    item = WORDS[:32]
+    pieces = [[*item[k : k + 4], f"filler{k}"] for k in (12, 17, 22, 27)]
+    text = " ".join(w for piece in [*pieces, item[:12]] for w in piece)  # 8 shingles with 16 words before 10 with 12
+    assert leakage.Index([(1, " ".join(item))]).leaks([text]) == [(0, 0, 0.5)]
+    for _ in range(200):
+        words, found = rng.choices(WORDS[:8], k=20), rng.choices(WORDS[:8], k=40)
+        shingles = {}
+        for k in range(len(found) - 2):
+            shingles.setdefault(tuple(found[k : k + 3]), []).append(k)
+        pairs = sorted((d, i) for i in range(len(words) - 2) for d in shingles.get(tuple(words[i : i + 3]), []))
+        best = {}
+        for d, i in pairs:
+            best[d, i] = max([3, *[n + min(3, i - y) for (x, y), n in best.items() if x < d and y < i]])
+        assert leakage.Index([(1, " ".join(words))]).coverage(0, shingles) == max(best.values(), default=0) / len(words)
+
+
 def test_blocks_find_every_near_fingerprint():
     import numpy as np
 
