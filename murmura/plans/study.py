@@ -74,8 +74,8 @@ class Study:
 def plan_of(keywords: DataFrame, scopes: DataFrame) -> DataFrame:
     """The plan of keyword(position, keyword) and scope(position, scope) tables, keyword by keyword.
 
-    Both sides are study lists of at most MOST_SEARCHES entries, joined on a constant.
+    All entries are planned, however many; only a ``Study`` refuses more than MOST_SEARCHES searches.
     """
-    k = keywords.select(F.lit(1).alias("_one"), F.col("position").alias("keyword_position"), "keyword").limit(MOST_SEARCHES)
-    s = scopes.select(F.lit(1).alias("_one"), F.col("position").alias("scope_position"), "scope").limit(MOST_SEARCHES)
-    return k.join(F.broadcast(s), "_one").drop("_one").orderBy("keyword_position", "scope_position")
+    k = keywords.select(F.col("position").alias("keyword_position"), "keyword")
+    s = scopes.select(F.col("position").alias("scope_position"), "scope")
+    return k.crossJoin(s).orderBy("keyword_position", "scope_position")

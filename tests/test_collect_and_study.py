@@ -9,7 +9,7 @@ from murmura.engine import Engine
 from murmura.functions import content, listings
 from murmura.operators import collect, labels
 from murmura.plans import queries
-from murmura.plans.study import Study
+from murmura.plans.study import Study, plan_of
 from murmura.sources import side_files
 
 CANDIDATES = "position int, url_key string, kind string, text string, full_text string, image_text string, name_text string, author_name string"
@@ -101,3 +101,9 @@ def test_facets_are_whole(spark):
     from murmura.operators.items import facet
 
     assert facet(items, "language").agg(F.sum("n")).first()[0] == items.count()
+
+
+def test_plans_of_long_lists_are_whole(spark):
+    keywords = spark.createDataFrame([(k, f"word {k:02}") for k in range(1, 61)], "position bigint, keyword string")
+    scopes = spark.createDataFrame([(k, f"scope {k:02}") for k in range(1, 53)], "position bigint, scope string")
+    assert [tuple(r) for r in plan_of(keywords, scopes).collect()] == [(k, f"word {k:02}", s, f"scope {s:02}") for k in range(1, 61) for s in range(1, 53)]
