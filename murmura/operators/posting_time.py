@@ -20,14 +20,15 @@ def posting_times(items: DataFrame, runs: DataFrame) -> DataFrame:
 
     how names the field that fixed the time: with a zone of its own (``posted_at``, ``time_exact``), a label
     counted back from first_seen (``ago``), or a clock time read in the run's zone (``local``). A local clock
-    time is joined as-of to the offset intervals of browser_timezone: one interval gives the offset; two mean
-    that it is ambiguous (the run's fixed offset decides, else the earlier one; ambiguous is true); none means
-    that it does not exist there and fixes nothing. Without a zone name the fixed offset counts; without both,
-    or with a null, empty, impossible or clockless field, posted_utc is null. Runs that are missing count as
-    runs without a zone. Repeated item rows give one output row each. Extra columns are ignored.
+    time is joined as-of to the exploded offset intervals of browser_timezone: one interval gives the offset; two
+    mean that it is ambiguous, which the run's fixed offset resolves if it is one of the two, while otherwise
+    posted_utc stays null and ambiguous says why; none means that it does not exist there and fixes nothing.
+    Without a zone name, or with one that is no IANA name, the fixed offset counts; without both, or with a null,
+    empty, impossible or clockless field, posted_utc is null. Runs that are missing count as runs without a zone.
+    Repeated item rows give one output row each. Extra columns are ignored.
     """
     run_side = runs.select(
-        F.col("run_id").alias("_run"), F.when(F.trim("browser_timezone") != "", F.trim("browser_timezone")).alias("zone"), F.col("browser_utc_offset_minutes").cast("bigint").alias("fixed")
+        F.col("run_id").alias("_run"), zones.known_zone(F.col("browser_timezone")).alias("zone"), F.col("browser_utc_offset_minutes").cast("bigint").alias("fixed")
     ).dropDuplicates(["_run"])
     spans = zones.interval_table(run_side.select("zone"))
     rows = items.select("item_id", F.col("first_run_id").alias("_run"), "first_seen", *STATED).join(run_side, "_run", "left")
@@ -36,8 +37,9 @@ def posting_times(items: DataFrame, runs: DataFrame) -> DataFrame:
     # One lambda over the three fields keeps the parser once in the plan; three inlined copies would exceed the
     # size of a generated method.
     rows = rows.select("item_id", "zone", "fixed", "seen", "time_text", F.transform(F.array(*STATED), times.stated_minute).alias("read"))
-    rows = zones.with_spans(rows, spans, "zone", "seen", "seen_spans")
-    rows = rows.withColumn("seen_shift", F.coalesce(zones.shift_at_utc(F.col("seen_spans"), F.col("seen")), F.when(F.col("zone").isNull(), F.col("fixed"))))
+    rows = zones.as_of(rows, spans, "utc", "zone", "seen", "seen_at")
+    # Without a stretch (no zone, or a year without one) the fixed offset is what is left.
+    rows = rows.withColumn("seen_shift", F.coalesce(F.col("seen_at.shift"), F.col("fixed")))
     local = F.coalesce(
         *[F.when(F.col("read")[k]["shift"].isNull(), F.col("read")[k]["minute"]) for k in range(len(STATED))],
         times.called_minute(F.col("time_text"), F.col("seen") + F.col("seen_shift")),
@@ -48,17 +50,16 @@ def posting_times(items: DataFrame, runs: DataFrame) -> DataFrame:
         *[s.alias(f"u_{c}") for s, c in zip(stated, STATED, strict=True)],
         (F.col("seen") - times.minutes_ago(F.col("time_text"))).alias("u_ago"),
     )
-    rows = zones.with_spans(rows, spans, "zone", "local", "local_spans")
-    hits = zones.matches_at_local(F.col("local_spans"), F.col("local"))
-    rows = rows.withColumn("hits", hits)
-    agreed = F.get(F.filter("hits", lambda s: s["shift"] == F.col("fixed")), F.lit(0))["shift"]
-    first = F.get(F.col("hits"), F.lit(0))["shift"]
-    shift = F.when(F.col("zone").isNull(), F.col("fixed")).when(F.size("hits") > 1, F.coalesce(agreed, first)).otherwise(first)
-    rows = rows.withColumn("u_local", F.col("local") - shift)
+    rows = zones.as_of(rows, spans, "local", "zone", "local", "at")
+    both = F.col("at.hits") > 1
+    agreed = F.when((F.col("at.shift") == F.col("fixed")) | (F.col("at.other") == F.col("fixed")), F.col("fixed"))
+    shift = F.when(F.col("at").isNull(), F.col("fixed")).when(both, agreed).otherwise(F.col("at.shift"))
+    rows = rows.withColumn("u_local", F.col("local") - shift).withColumn("both", F.coalesce(both, F.lit(False)))
     order = ["u_posted_at", "u_time_exact", "u_time_text", "u_local", "u_ago"]
     how = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c[2:])) for c in order])
+    unfixed = F.coalesce(how == "local", F.col("both"))
     return rows.select(
         "item_id", utc_text(F.coalesce(*order)).alias("posted_utc"), how.alias("how"),
-        ((how == "local") & (F.size("hits") > 1)).alias("ambiguous"),
+        (F.col("both") & unfixed).alias("ambiguous"),
         *order,
     )

@@ -1,6 +1,9 @@
-"""Zone-offset intervals and the as-of join of local or UTC minutes to them.
+"""Zone-offset intervals, exploded, and the as-of join of local or UTC minutes to them.
 
-Times are whole minutes since 1970 (BIGINT); a local minute is counted as if its wall clock were UTC.
+Times are whole minutes since 1970 (BIGINT); a local minute is counted as if its wall clock were UTC. Each zone's
+local time line is cut where a clock change makes an interval begin or end there. A stretch knows how many offset
+intervals hold it: one gives the offset, two mean that its minutes are ambiguous, none that they do not exist.
+Stretches are cut again at the turn of each year, so that the year is an equality of the join.
 """
 
 from __future__ import annotations
@@ -11,17 +14,21 @@ from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FIRST_YEAR, LAST_YEAR = 1990, 2045
+#: All years that a date text can name.
+FIRST_YEAR, LAST_YEAR = 1900, 2099
+DAY = 1440
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
-SCHEMA = T.StructType(
-    [
-        T.StructField("zone", T.StringType()),
-        T.StructField("zone_year", T.IntegerType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("utc_from", "utc_to", "shift")]))),
-    ]
-)
+SCHEMA = "zone STRING, clock STRING, zone_year INT, low BIGINT, high BIGINT, hits INT, shift BIGINT, other BIGINT"
+
+
+def known_zones() -> tuple[str, ...]:
+    """The IANA names; any other name in a table counts as none."""
+    return tuple(sorted(available_timezones()))
+
+
+def year_start(year: int) -> int:
+    return (datetime(year, 1, 1, tzinfo=UTC) - _EPOCH) // timedelta(minutes=1)
 
 
 def _offset(zone: ZoneInfo, minute: int) -> int:
@@ -32,13 +39,11 @@ def _offset(zone: ZoneInfo, minute: int) -> int:
 @lru_cache(maxsize=1024)
 def intervals(name: str) -> tuple[tuple[int, int, int], ...]:
     """(first UTC minute, end, offset in minutes) of each stretch of one offset, FIRST_YEAR to LAST_YEAR."""
-    zone, day = ZoneInfo(name), 1440
-    begin = int((datetime(FIRST_YEAR - 1, 12, 1, tzinfo=UTC) - _EPOCH).total_seconds() // 60)
-    end = int((datetime(LAST_YEAR + 1, 2, 1, tzinfo=UTC) - _EPOCH).total_seconds() // 60)
-    out, at, shift = [], begin, _offset(zone, begin)
-    start = begin
+    zone = ZoneInfo(name)
+    at, end = year_start(FIRST_YEAR) - 2 * DAY, year_start(LAST_YEAR + 1) + 2 * DAY
+    out, start, shift = [], at, _offset(zone, at)
     while at < end:
-        step = min(at + 5 * day, end)
+        step = min(at + 5 * DAY, end)
         if (other := _offset(zone, step)) != shift:
             low, high = at, step
             while high - low > 1:
@@ -51,40 +56,62 @@ def intervals(name: str) -> tuple[tuple[int, int, int], ...]:
     return tuple(out)
 
 
+def stretches(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
+    """(first minute, end, offsets in time order) of each stretch between the ends of (first, end, offset) spans."""
+    edges = sorted({x for first, end, _ in spans for x in (first, end)})
+    spans, out, k = sorted(spans), [], 0
+    for low, high in zip(edges, edges[1:], strict=False):
+        while k < len(spans) and spans[k][1] <= low:
+            k += 1
+        out.append((low, high, [s for first, end, s in spans[k : k + 3] if first <= low and high <= end]))
+    return out
+
+
+def _by_year(spans: list[tuple[int, int, list[int]]]) -> list[tuple]:
+    out, k = [], 0
+    for year in range(FIRST_YEAR, LAST_YEAR + 1):
+        begin, end = year_start(year), year_start(year + 1)
+        while spans[k][1] <= begin:
+            k += 1
+        n = k
+        while n < len(spans) and spans[n][0] < end:
+            low, high, shifts = spans[n]
+            out.append((year, max(low, begin), min(high, end), len(shifts), *(shifts + [None, None])[:2]))
+            n += 1
+    return out
+
+
 def interval_table(zones: DataFrame) -> DataFrame:
-    """One row per zone and local year with that year's offset intervals, for the IANA zones named in zones.zone.
+    """The stretches of the IANA zones named in zones.zone, on the local clock and on the UTC clock.
 
-    Size bound: names outside the IANA list are dropped before anything is collected, so that at most about
-    600 zones times 56 years come out; this is what makes the broadcast in ``with_spans`` safe.
+    Size bound: names outside the IANA list are dropped before anything is collected, so that at most about 600
+    zones come out, with some five rows for each clock and year; this is what makes the broadcast in ``as_of`` safe.
     """
-    known = sorted(available_timezones())
-    found = [r[0] for r in zones.filter(F.col("zone").isin(known)).distinct().collect()]
+    found = [r[0] for r in zones.where(F.col("zone").isin(list(known_zones()))).distinct().collect()]
     rows = []
     for name in found:
-        spans = intervals(name)
-        for year in range(FIRST_YEAR, LAST_YEAR + 1):
-            low = int((datetime(year, 1, 1, tzinfo=UTC) - _EPOCH).total_seconds() // 60) - 1440
-            high = int((datetime(year + 1, 1, 1, tzinfo=UTC) - _EPOCH).total_seconds() // 60) + 1440
-            rows.append((name, year, [s for s in spans if s[0] < high and s[1] > low]))
+        utc = list(intervals(name))
+        local = [(low + shift, high + shift, shift) for low, high, shift in utc]
+        for clock, spans in (("utc", utc), ("local", local)):
+            rows += [(name, clock, *row) for row in _by_year(stretches(spans))]
     return zones.sparkSession.createDataFrame(rows, SCHEMA)
 
 
-def year_of(minute: Column) -> Column:
-    return F.year(F.timestamp_seconds(minute * 60))
-
-
-def with_spans(df: DataFrame, spans: DataFrame, zone: str, minute: str, name: str) -> DataFrame:
-    """df with the interval array of its zone and of the year of its minute column; null where there is none."""
-    side = spans.select(F.col("zone").alias("_zone"), F.col("zone_year").alias("_year"), F.col("spans").alias(name))
-    keyed = df.withColumn("_y", year_of(F.col(minute)))
-    return keyed.join(F.broadcast(side), (keyed[zone] == side["_zone"]) & (keyed["_y"] == side["_year"]), "left").drop("_zone", "_year", "_y")
-
+def as_of(df: DataFrame, table: DataFrame, clock: str, zone: str, minute: str, name: str) -> DataFrame:
+    """df with name: struct(hits, shift, other) of the stretch that holds its minute column on that clock.
 
-def shift_at_utc(spans: Column, minute: Column) -> Column:
-    """The offset at a UTC minute; a null minute or array gives null."""
-    return F.get(F.filter(spans, lambda s: (s["utc_from"] <= minute) & (minute < s["utc_to"])), F.lit(0))["shift"]
-
-
-def matches_at_local(spans: Column, minute: Column) -> Column:
-    """The intervals whose local time holds a local minute: two mean ambiguous, none means nonexistent."""
-    return F.filter(spans, lambda s: (s["utc_from"] + s["shift"] <= minute) & (minute < s["utc_to"] + s["shift"]))
+    One row per row of df: the stretches of a zone do not overlap. Null for a null zone or minute and for years
+    outside FIRST_YEAR to LAST_YEAR.
+    """
+    side = table.where(F.col("clock") == clock).select(
+        F.col("zone").alias("_zone"), F.col("zone_year").alias("_year"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.struct("hits", "shift", "other").alias(name)
+    )
+    at = df[minute]
+    same = (df[zone] == side["_zone"]) & (F.year(F.timestamp_seconds(at * 60)) == side["_year"])
+    return df.join(F.broadcast(side), same & (side["_low"] <= at) & (at < side["_high"]), "left").drop("_zone", "_year", "_low", "_high")
+
+
+def known_zone(name: Column) -> Column:
+    """The name if it is an IANA zone, whatever its case and the blanks around it; else null."""
+    spelling = F.create_map(*[F.lit(x) for z in known_zones() for x in (z.lower(), z)])
+    return F.try_element_at(spelling, F.lower(F.trim(name)))

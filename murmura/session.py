@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,6 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -32,15 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset, a local one."""
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine gets a local folder; on a cluster a machine's own folder would
+    lose data, so that is a ValueError.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if context.isDefined():
-            return context.get()
-        base = os.path.join(tempfile.gettempdir(), "murmura-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if context.isDefined():
+        return context.get()
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "murmura-shared")
 
 
 def cut(df: DataFrame) -> DataFrame:
