@@ -90,19 +90,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and reading level of every English document of at least 40 words."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    levels = reading.english_levels(spread(documents), table(spark, sf_dir, "reading_samples"), _document_languages(documents))
-    return levels.select("doc_id", "reading_level")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return reading.english_levels(documents, table(spark, sf_dir, "reading_samples")).select("doc_id", "reading_level")
 
 
 def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the reading levels per source."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang")
-    return reading.source_profile(spread(documents), table(spark, sf_dir, "reading_samples"), _document_languages(documents))
-
-
-def _document_languages(documents: DataFrame) -> tuple:
-    return language.fit(documents, label="lang", key="doc_id")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang"))
+    return reading.source_profile(documents, table(spark, sf_dir, "reading_samples"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_profile": p10_profile}

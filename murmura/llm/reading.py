@@ -1,9 +1,12 @@
 """Reading level of each English text.
 
 Smoothed unigram language models, one per level, trained on the graded sample texts. A word unseen in a level
-falls back to its class there (length and syllables), so that the level of new words follows their shape. Each
-sentence (or stretch of ``WINDOW`` words where marks are missing) takes the level of highest posterior likelihood;
-a document takes the level that holds most of its words.
+falls back to its class there (length and syllables), so that the level of new words follows their shape. A text is
+read in stretches: a sentence is cut into equal stretches of at most ``STRETCH`` words, whatever its length, so
+that text without marks follows the same rule. Each stretch takes the level of highest posterior likelihood; a
+document takes the level that holds most of its words.
+
+Words are read once: the same pass gives each stretch its language (problem 6's code lengths) and its level.
 
 Defined results: null and wordless texts have no level; shares of a document's words sum to 1; ties go to the
 plainer level.
@@ -27,14 +30,15 @@ from murmura.llm.visible import visible
 
 LEVELS = ("basic", "middle", "advanced")
 MIN_WORDS = 40
-WINDOW = 12  # words of a stretch without sentence marks
-SENTENCE_CAP = 60  # a longer sentence is taken for unmarked text and cut into windows
+STRETCH = 12  # most words that are judged together
 SAMPLE_LIMIT = 5000  # most graded sample texts that the fit reads
 ENGLISH_SHARE = 0.5
 SMOOTH = 0.35  # weight of the word class beside the seen words
+CACHED_WORDS = 1 << 19  # words whose figures a process keeps
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d[\d,.]*")
-_MARK = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|\n\s*\n|\n(?=[-*•>\d])")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+(?:[.,]\d+)*")
+#: Words and what parts sentences: a mark before a blank, an empty line, a line that begins with a capital, a list or a quote.
+_TOKEN = re.compile(rf"{_WORD.pattern}|[.!?][\"'”’)\]]*\s+|\n\s*\n|\n(?=[-*•>\dA-Z])")
 _VOWELS = re.compile(r"[aeiouy]+")
 
 
@@ -50,19 +54,25 @@ def word_class(word: str) -> str:
     return f"{min(len(word), 14) // 2}/{min(len(_VOWELS.findall(word)), 5)}"
 
 
-def fit(samples: DataFrame, level: str = "reading_level", text: str = "text") -> tuple:
-    """Frozen counts of each level from at most SAMPLE_LIMIT graded texts."""
-    rows = samples.where(F.col(level).isin(list(LEVELS)) & F.col(text).isNotNull()).orderBy(F.xxhash64(text)).limit(SAMPLE_LIMIT).select(level, text).collect()
+def sample_texts(samples: DataFrame, level: str = "reading_level", text: str = "text") -> list[tuple[str, str]]:
+    """(level, text) of at most SAMPLE_LIMIT graded texts, those with the smallest hash."""
+    known = samples.where(F.col(level).isin(list(LEVELS)) & F.col(text).isNotNull())
+    return [tuple(r) for r in known.orderBy(F.xxhash64(text), text).limit(SAMPLE_LIMIT).select(level, text).collect()]
+
+
+def fit(texts: list[tuple[str, str]]) -> tuple:
+    """Frozen word counts of each level."""
     counts = {name: Counter() for name in LEVELS}
-    for name, t in rows:
+    for name, t in texts:
         counts[name].update(level_words(t))
     return tuple((name, tuple(sorted(counts[name].items()))) for name in LEVELS)
 
 
 class Grades:
-    """Log-likelihood of a word at each level, kept per word."""
+    """Log-likelihood of a word at each level, and its code length in each language, kept per word."""
 
-    def __init__(self, frozen: tuple) -> None:
+    def __init__(self, frozen: tuple, model: language.Model) -> None:
+        self._model = model
         self._seen = [dict(pairs) for _, pairs in frozen]
         self._total = [sum(s.values()) + 1 for s in self._seen]
         vocabulary = {w for s in self._seen for w in s}
@@ -73,10 +83,15 @@ class Grades:
             for w, n in s.items():
                 by_class[word_class(w)] += n
             self._classes.append(by_class)
+        self._forget()
+
+    def _forget(self) -> None:
         self._row: dict[str, int] = {}
-        self._table = np.zeros((1024, len(LEVELS)))
+        self._table = np.zeros((1024, len(LEVELS) + len(language.LANGUAGES) + 1))
+        self._size = 1  # row 0 stands for the end of a sentence
 
-    def _logs(self, word: str) -> list[float]:
+    def logs(self, word: str) -> list[float]:
+        """Log-likelihood of a word at each level."""
         kind = word_class(word)
         out = []
         for seen, total, classes in zip(self._seen, self._total, self._classes, strict=True):
@@ -84,42 +99,54 @@ class Grades:
             out.append(math.log((1 - SMOOTH) * seen.get(word, 0) / total + SMOOTH * shape))
         return out
 
-    def rows(self, tokens: list[str]) -> list[int]:
-        out = []
-        for w in tokens:
-            at = self._row.get(w)
-            if at is None:
-                if len(self._row) >= 1 << 19:
-                    self._row.clear()
-                at = self._row[w] = len(self._row)
-                if at >= len(self._table):
-                    self._table = np.vstack([self._table, np.zeros_like(self._table)])
-                self._table[at] = self._logs(w)
-            out.append(at)
-        return out
-
-    def shares(self, text: str) -> tuple[int, tuple[float, float, float]]:
-        """Number of words, and each level's share of them."""
-        stretches: list[list[str]] = []
-        for s in _MARK.split(text):
-            tokens = level_words(s)
-            if len(tokens) > SENTENCE_CAP:
-                stretches += [tokens[k : k + WINDOW] for k in range(0, len(tokens), WINDOW)]
-            elif tokens:
-                stretches.append(tokens)
-        if not stretches:
-            return 0, (0.0, 0.0, 0.0)
-        at = self.rows([w for s in stretches for w in s])
-        sizes = np.fromiter(map(len, stretches), int, len(stretches))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        best = np.add.reduceat(self._table[at], starts, axis=0).argmax(axis=1)
-        total = int(sizes.sum())
-        return total, tuple(float(sizes[best == k].sum()) / total for k in range(len(LEVELS)))
+    def _added(self, token: str) -> int:
+        if not token[0].isalnum():
+            self._row[token] = 0
+            return 0
+        word = token.lower()
+        if word != token and word in self._row:
+            at = self._row[token] = self._row[word]
+            return at
+        at = self._row[token] = self._row[word] = self._size
+        self._size += 1
+        if at >= len(self._table):
+            self._table = np.vstack([self._table, np.zeros_like(self._table)])
+        self._table[at, : len(LEVELS)] = self.logs(word)
+        if word[0].isalpha():  # numbers are of no language
+            self._table[at, len(LEVELS) :] = self._model.word_costs(word)
+        return at
+
+    def graded(self, text: str | None) -> tuple[int, float, tuple[float, ...]]:
+        """(words, share of words in English stretches, each level's share of the words)."""
+        if len(self._row) >= CACHED_WORDS:  # between texts only: row numbers taken before would go astray
+            self._forget()
+        known, at = self._row.get, []
+        for t in _TOKEN.findall(visible(text or "")):
+            n = known(t)
+            at.append(self._added(t) if n is None else n)
+        rows = np.array(at, np.int64)
+        words = rows > 0
+        total = int(words.sum())
+        if not total:
+            return 0, 0.0, (0.0,) * len(LEVELS)
+        sentence = np.cumsum(~words)[words]
+        rows = rows[words]
+        first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+        lengths = np.diff(np.r_[first, total])
+        pieces = -(-lengths // STRETCH)
+        place = np.arange(total) - np.repeat(first, lengths)
+        piece = place * np.repeat(pieces, lengths) // np.repeat(lengths, lengths)
+        starts = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (sentence[1:] != sentence[:-1])])
+        sums = np.add.reduceat(self._table[rows], starts, axis=0)
+        sizes = np.diff(np.r_[starts, total])
+        level = sums[:, : len(LEVELS)].argmax(axis=1)
+        english = sums[:, len(LEVELS) :].argmin(axis=1) == language.LANGUAGES.index("en")
+        return total, float(sizes[english].sum()) / total, tuple(float(sizes[level == k].sum()) / total for k in range(len(LEVELS)))
 
 
 @lru_cache(maxsize=4)
-def grades_of(frozen: tuple) -> Grades:
-    return Grades(frozen)
+def grades_of(frozen: tuple, languages: tuple) -> Grades:
+    return Grades(frozen, language.model_of(languages))
 
 
 LEVEL = T.StructType(
@@ -130,45 +157,41 @@ LEVEL = T.StructType(
 def levels_column(text: Column, frozen: tuple, languages: tuple) -> Column:
     """struct(reading_level, words, english, basic, middle, advanced) of a text column.
 
-    english is the share of the words that stand in English sentences.
+    english is the share of the words that stand in English stretches.
     """
 
     @F.pandas_udf(LEVEL)
     def run(values: pd.Series) -> pd.DataFrame:
-        grades, model = grades_of(frozen), language.model_of(languages)
-        known: dict[str, tuple] = {}
-        out = []
-        for v in values:
-            key = v or ""
-            if key not in known:
-                known[key] = graded(key, grades, model)
-            out.append(known[key])
-        return pd.DataFrame(out, columns=LEVEL.names)
+        grades = grades_of(frozen, languages)
+        codes, texts = pd.factorize(values)
+        each = []
+        for t in [*texts, None]:  # the last stands for null
+            n, english, shares = grades.graded(t)
+            each.append((LEVELS[max(range(len(LEVELS)), key=shares.__getitem__)] if n else None, n, english, *shares))
+        return pd.DataFrame([each[k] for k in codes], columns=LEVEL.names)
 
     return run(text)
 
 
-def graded(text: str, grades: Grades, model: language.Model) -> tuple:
-    text = visible(text)
-    english = total = 0
-    for s in language.sentences(text):
-        tokens = language.words(s)
-        total += len(tokens)
-        if tokens and model.best(tokens)[0] == "en":
-            english += len(tokens)
-    n, shares = grades.shares(text)
-    level = LEVELS[max(range(len(LEVELS)), key=lambda k: shares[k])] if n else None
-    return level, n, english / total if total else 0.0, *shares
+def _may_be_long(text: Column) -> Column:
+    """False only for an ASCII text of fewer than MIN_WORDS runs of letters and digits: it has no more words."""
+    return text.rlike(r"[^\x00-\x7F]") | (F.regexp_count(text, F.lit("[A-Za-z]+|[0-9]+")) >= MIN_WORDS)
 
 
-def english_levels(documents: DataFrame, samples: DataFrame, languages: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key with level, words and shares of each text of MIN_WORDS words or more that is mostly English."""
-    rows = documents.select(key, levels_column(F.col(text), fit(samples), languages).alias("g")).select(key, "g.*")
+def english_levels(documents: DataFrame, samples: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key with level, words and shares of each text of MIN_WORDS words or more that is mostly English.
+
+    The languages are those of problem 6, fitted on the documents' labels; the graded samples are English.
+    """
+    graded = sample_texts(samples)
+    languages = language.fit(documents, text=text, label=label, key=key, known={"en": [t for _, t in graded]})
+    rows = documents.select(key, text).where(_may_be_long(F.col(text)))
+    rows = rows.select(key, levels_column(F.col(text), fit(graded), languages).alias("g")).select(key, "g.*")
     return rows.where((F.col("words") >= MIN_WORDS) & (F.col("english") > ENGLISH_SHARE) & F.col("reading_level").isNotNull())
 
 
-def source_profile(documents: DataFrame, samples: DataFrame, languages: tuple, source: str = "source", key: str = "doc_id") -> DataFrame:
+def source_profile(documents: DataFrame, samples: DataFrame, source: str = "source", label: str = "lang", key: str = "doc_id", text: str = "text") -> DataFrame:
     """source with its number of graded texts and the share of each level; a null source counts as one source."""
-    levels = english_levels(documents.select(F.struct(key, source).alias("_k"), "text"), samples, languages, key="_k")
+    levels = english_levels(documents.select(F.struct(key, source).alias("_k"), label, text), samples, label, "_k", text)
     shares = [F.avg((F.col("reading_level") == n).cast("double")).alias(n) for n in LEVELS]
     return levels.groupBy(F.col(f"_k.{source}").alias(source)).agg(F.count("*").alias("documents"), *shares)

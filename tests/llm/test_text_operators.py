@@ -4,6 +4,7 @@ import difflib
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,6 +121,34 @@ def test_sentence_languages(model, text, found):
     assert model.clear_languages(text, "xx") == found
 
 
+FOREIGN = [
+    "Ich habe gestern im Laden gefragt, aber niemand konnte mir sagen, wann die Lieferung kommt.", "Je suis allé au magasin hier mais personne ne voulait me répondre.", "Вчера мы ходили в магазин, но никто нам не ответил.",
+    "Ieri siamo andati al negozio ma nessuno ci ha voluto rispondere.", "Kemarin kami pergi ke toko tetapi tidak ada yang mau menjawab.", "Dün mağazaya gittik ama kimse bize cevap vermedi.",
+    "دیروز به فروشگاه رفتیم اما هیچ کس جواب ما را نداد.", "গতকাল আমরা দোকানে গিয়েছিলাম কিন্তু কেউ আমাদের উত্তর দেয়নি।", "Wczoraj poszliśmy do sklepu, ale nikt nie chciał nam odpowiedzieć.", "Hôm qua chúng tôi đã đến cửa hàng nhưng không ai trả lời.",
+]
+
+
+def test_other_languages_are_undetermined(model):
+    found = [model.best(language.words(t))[0] for t in FOREIGN]
+    assert found.count("und") >= 0.9 * len(FOREIGN)  # Indonesian shares its short words with Roman Urdu
+    assert sum(model.clear_languages(t, None) == set() for t in FOREIGN) >= 0.9 * len(FOREIGN)
+    unseen = {"en": "A musician played violin beside the fountain while we were waiting for her.", "es": "Los científicos descubrieron una galaxia que nadie había visto antes.", "ur": "مسافر نے دریا کے پاس بیٹھ کر اپنا گیت گایا۔", "ar": "جلس المسافر تحت الشجرة وهو يقرأ في كتاب جديد."}
+    assert {code: model.best(language.words(t))[0] for code, t in unseen.items()} == {code: code for code in unseen}
+
+
+def test_a_row_of_names_and_measures_is_no_sentence(model):
+    assert model.clear_languages("965 W = Rs 20,250 (Elmira Power) Size 2278 x 1134 mm Solmere Vantis Rs", None) == set()
+    assert model.clear_languages("I need help please", None) == {"en"}
+
+
+def test_costs_do_not_depend_on_the_words_before(monkeypatch):
+    texts = [language.SEEDS[c] for c in language.LANGUAGES] * 2
+    fresh = [language.Model(language.seed_counts()).costs(language.words(t)).tolist() for t in texts]
+    monkeypatch.setattr(language, "CACHED_WORDS", 100)  # the cache fills up within texts again and again
+    worn = language.Model(language.seed_counts())
+    assert [worn.costs(language.words(t)).tolist() for t in texts] == fresh
+
+
 def test_code_lengths_are_a_distribution(model):
     # The probabilities of all single bytes after a known context sum to at most 1.
     coder = model._coders[0]
@@ -271,22 +300,49 @@ def test_blocks_find_every_near_fingerprint():
 # 10 reading level
 
 
-def test_reading_levels_hold_out(spark):
-    samples = spark.read.parquet("/root/testdata/sf0.001/reading_samples.parquet")
-    rows = samples.collect()
-    train = spark.createDataFrame([r for r in rows if r.sample_id % 3], samples.schema)
-    grades = reading.Grades(reading.fit(train))
-    held = [r for r in rows if r.sample_id % 3 == 0]
-    right = sum(max(range(3), key=lambda k: grades.shares(r.text)[1][k]) == reading.LEVELS.index(r.reading_level) for r in held)
+@pytest.fixture(scope="module")
+def graded():
+    return [(r.reading_level, r.text) for r in pd.read_parquet("/root/testdata/sf0.001/reading_samples.parquet").itertuples()]
+
+
+def test_reading_levels_hold_out(graded, model):
+    grades = reading.Grades(reading.fit([g for k, g in enumerate(graded) if k % 3]), model)
+    held = graded[::3]
+    right = sum(max(range(3), key=lambda k: grades.graded(text)[2][k]) == reading.LEVELS.index(level) for level, text in held)
     assert right >= 0.9 * len(held)
 
 
+def test_levels_do_not_depend_on_the_words_before(graded, model, monkeypatch):
+    frozen = reading.fit(graded)
+    fresh = [reading.Grades(frozen, model).graded(text) for _, text in graded]
+    monkeypatch.setattr(reading, "CACHED_WORDS", 150)  # the cache fills up within texts again and again
+    worn = reading.Grades(frozen, model)
+    assert [worn.graded(text) for _, text in graded] == fresh
+
+
+def test_long_sentences_follow_the_rule_of_short_ones(graded, model):
+    grades = reading.Grades(reading.fit(graded), model)
+    basic = " ".join(w for level, text in graded if level == "basic" for w in reading.level_words(text))
+    words = basic.split()[:400]
+    for n in (40, 59, 60, 61, 62, 120, 400):
+        assert grades.graded(" ".join(words[:n]))[2][0] > 0.8
+    advanced = next(text for level, text in graded if level == "advanced")
+    mixed = " ".join(words[:61]) + " " + " ".join(reading.level_words(advanced)[:30])  # no mark at all
+    shares = grades.graded(mixed)[2]
+    assert shares[0] > 0.5 > shares[2] > 0.2
+
+
+def test_lines_are_sentences_and_wrapped_lines_are_not(graded, model):
+    grades = reading.Grades(reading.fit(graded), model)
+    assert grades.graded("The box was wet\nHe came on time")[0] == 8
+    assert len([t for t in reading._TOKEN.findall("The box was wet\nHe came\non time") if not t[0].isalnum()]) == 1
+
+
 def test_reading_edges(spark):
     samples = spark.read.parquet("/root/testdata/sf0.001/reading_samples.parquet")
     basic = samples.where("reading_level = 'basic'").first().text
-    df = spark.createDataFrame([(1, basic, "s", "x"), (2, None, "s", "x"), (3, "", None, "x"), (4, "Too short.", "s", "x"), (5, "मुझे बताइए कि यह कब तक मिलेगा। " * 20, "s", "x"), (1, basic, "s", "x"), (6, basic.replace(".", ""), None, "x")], "doc_id bigint, text string, source string, words string")
-    frozen = language.freeze(language.seed_counts())
-    got = sorted((r.doc_id, r.reading_level) for r in reading.english_levels(df, samples, frozen).collect())
+    df = spark.createDataFrame([(1, basic, "s", "x"), (2, None, "s", "x"), (3, "", None, "x"), (4, "Too short.", "s", "x"), (5, "मुझे बताइए कि यह कब तक मिलेगा। " * 20, "s", "x"), (1, basic, "s", "x"), (6, basic.replace(".", ""), None, "x")], "doc_id bigint, text string, source string, lang string")
+    got = sorted((r.doc_id, r.reading_level) for r in reading.english_levels(df, samples).collect())
     assert got == [(1, "basic"), (1, "basic"), (6, "basic")]
-    assert {(r.source, r.documents, r.basic) for r in reading.source_profile(df, samples, frozen).collect()} == {("s", 2, 1.0), (None, 1, 1.0)}
-    assert reading.english_levels(df.limit(0), samples, frozen).count() == 0
+    assert {(r.source, r.documents, r.basic) for r in reading.source_profile(df, samples).collect()} == {("s", 2, 1.0), (None, 1, 1.0)}
+    assert reading.english_levels(df.limit(0), samples).count() == 0 and reading.english_levels(df, samples.limit(0)).where("words > 1000000").count() == 0
