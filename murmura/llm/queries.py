@@ -35,20 +35,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeated_posts(table(spark, sf_dir, "items"), table(spark, sf_dir, "runs"))
 
 
+def _moderation(spark: SparkSession, sf_dir: str) -> tuple:
+    return moderation.fit(table(spark, sf_dir, "moderation_samples"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id of every item whose text is abusive, hateful or sexual."""
     items = spread(table(spark, sf_dir, "items").select("item_id", "text"))
-    return moderation.scored(items).where(f"score >= {moderation.THRESHOLD}").select("item_id")
+    return moderation.scored(items, _moderation(spark, sf_dir)).where(f"score >= {moderation.THRESHOLD}").select("item_id")
 
 
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id with its score in each category."""
-    return moderation.scored(spread(table(spark, sf_dir, "items").select("item_id", "text")))
+    return moderation.scored(spread(table(spark, sf_dir, "items").select("item_id", "text")), _moderation(spark, sf_dir))
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of flagged items per group_name."""
-    return moderation.rates(spread(table(spark, sf_dir, "items").select("group_name", "text")))
+    return moderation.rates(spread(table(spark, sf_dir, "items").select("group_name", "text")), _moderation(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from murmura.llm import language, leakage, moderation, personal, reading, tokens, visible
+from murmura.llm import language, leakage, personal, reading, tokens, visible
 
 VOCABULARY = f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken"
 LONG = "The pump makes a noise. " * 4000
@@ -66,41 +66,6 @@ def test_columns_equal_functions(spark):
     assert [r[1] for r in got] == [None if v is None else visible.visible(v) for v in values]
 
 
-# 5 moderation
-
-
-@pytest.mark.parametrize(
-    ("text", "category"),
-    [
-        ("You are a m0r0n", "abuse"), ("Shut up you s.c.u.m.b.a.g, go away", "abuse"), ("What an answer from a b*****d like you", "abuse"), ("You are a moroooon", "abuse"), ("You are a mоrоn", "abuse"),
-        ("Eres un 1mbec1l", "abuse"), ("All of them are subhuman trash", "hate"), ("Send me your nud3s tonight", "sexual"), ("Even an idiot-proof manual fails", None), ("Strip the naked wire first", None),
-        ("It is a dumb meter", None), ("The rats chewed the cable", None), ("I hate this fan, it is loud", None), ("A killer price, terrible service", None), ("", None), (None, None), ("🌞 12345", None), (LONG, None),
-    ],
-)
-def test_moderation(text, category):
-    s = moderation.scores(text)
-    assert (moderation.CATEGORIES[s.index(max(s))] if max(s) >= moderation.THRESHOLD else None) == category
-
-
-@pytest.mark.parametrize("token", ["stu" + "u" * 30 + "pid", "s" * 50 + "tupid", "st" + "u-" * 40 + "upid", "i" * 12 + "d" * 12 + "i0" + "t" * 20, "m*r*n", "id**t"])
-def test_stretched_words_of_any_length(token):
-    assert moderation.restored(token) in ("stupid", "idiot", "moron")
-    listed = moderation._letters()[1]
-    assert max(map(len, listed)) <= moderation.LONGEST and not any(4 * x in w for w in listed for x in w)
-
-
-def test_long_tokens_that_stand_for_no_word():
-    for token in ("ab" * 50_000 + "!", "a.b" * 30_000 + "@", "q*" * 60, "*" * 200):
-        assert moderation.restored(token) == token
-
-
-def test_moderation_tables(spark):
-    df = spark.createDataFrame([("a", "g", "You are a moron", "x"), ("b", "g", "fine", "x"), ("c", None, None, "x"), ("c", None, None, "x")], "item_id string, group_name string, text string, s string")
-    assert {r.item_id for r in moderation.scored(df).where("score >= 1").collect()} == {"a"} and moderation.scored(df).count() == 4
-    assert {(r.group_name, r.texts, r.flagged) for r in moderation.rates(df).collect()} == {("g", 2, 1), (None, 2, 0)}
-    assert moderation.rates(df.limit(0)).count() == 0
-
-
 # 6 language
 
 
