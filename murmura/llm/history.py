@@ -1,14 +1,18 @@
-"""Deduplicating new batches against all history without going through the history's texts again.
+"""Deduplicating new batches against all history without going through the history again.
 
 Accepted rows are kept as hashes in bucketed tables. A row belongs to a class of rows that are alike in scope,
-author, content, text and post id; copies share a class, and links are found between classes only. Each class has
-keys: its post id, its content key, and a prefix of its text's word pairs. The pairs stand in one fixed order (those
-of words with digits and of long words first); texts that share ``COVER`` of the larger one's pairs share one of
-the first pairs of both, so all links are found. A new batch is joined bucket-locally to the key table, candidates are
-verified on the classes' word-pair hashes, and the batch's classes and keys are appended.
+author, content, text and post id; copies share a class, and links are found between classes only. A text is a set
+of paragraphs: runs of words that end with their sentence or after a word that its own hash marks, so that an edit
+changes the paragraph around it and no other. Each class has keys: its post id, its content key and some of its
+paragraphs. The paragraphs stand in one fixed order (long ones first); texts that share ``COVER`` of the larger
+one's words in paragraphs share one of the first paragraphs of both, so all such links are found.
+
+A batch is joined to the key table bucket by bucket, and only to those parts (``slots``) of it that hold one of the
+batch's keys; candidates are verified on the hashes of the classes that were met; the batch's rows and keys are
+appended. Slots and buckets come from one hash, so each slot is one file of one bucket and batch.
 
 Two rows are the same post if their URL keys name one post or comment, or if at least one names none (or only a
-photo), they share content key or text (at least ``COVER`` of the larger text's word pairs, ``MIN_LETTERS``
+photo), they share content key or text (``COVER`` of the larger text's words in shared paragraphs, ``MIN_LETTERS``
 letters), stand in one group (comments: under one parent post), and their authors do not differ.
 
 Defined results: a null, blank or label author differs from none; rows without a group match by URL key only;
@@ -20,18 +24,17 @@ from __future__ import annotations
 
 import base64
 import binascii
-import math
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.llm import personal
 from murmura.llm.visible import canonical, visible
-from murmura.session import cut, shared_path
+from murmura.session import cut, remove, shared_path
 
 COVER = 0.5
 MIN_LETTERS = 12
@@ -88,15 +91,20 @@ def author_of(name: str | None) -> str | None:
 
 _MASK64 = (1 << 64) - 1
 _ODD = np.array([_hash("odd", k) | 1 for k in range(3)], np.int64).view(np.uint64)
-_SENTENCE = re.compile(r"(?<=[.!?؟।۔…])\s+|\n+")
+LONGEST = 60  # words of a paragraph at most
+ENDS = 3  # one word in so many ends a paragraph
+_PLACES = np.array([_hash("place", k) | 1 for k in range(LONGEST)], np.int64).view(np.uint64)
+#: Words, and what ends a sentence.
+_TOKEN = re.compile(r"\w+|[.!?؟।۔…]\s|\n")
 _words: dict[str, int] = {}
 
 
-def _word(word: str) -> int:
-    """Hash of a word; its last six bits are the higher the rarer such words are: a digit, then the length."""
+def _word(token: str) -> int:
+    """Hash of a word; 0 for the end of a sentence."""
     if len(_words) > 1 << 20:
         _words.clear()
-    made = _words[word] = (xxhash.xxh64_intdigest(word) & ~63) | any(map(str.isdigit, word)) << 5 | min(len(word), 31)
+    first = token[0]
+    made = _words[token] = 0 if not (first.isalnum() or first == "_") else xxhash.xxh64_intdigest(token) | 1
     return made
 
 
@@ -108,30 +116,52 @@ def _mixed(values: np.ndarray, *seeds: int) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _features(text: str | None) -> tuple[int | None, np.ndarray]:
-    """(hash of the whole text, word-pair hashes in the fixed order); null and nothing for short texts."""
-    words = [w for sentence in _SENTENCE.split(visible(text).casefold()) for w in _WORD.findall(sentence)] if text else []
-    if sum(map(len, words)) < MIN_LETTERS:
-        return None, np.empty(0, np.int32)
+_NONE = np.empty(0, np.int32)
+
+
+def paragraphs(text: str | None) -> tuple[int | None, np.ndarray]:
+    """(hash of the whole text, its paragraphs in the fixed order); null and nothing for short texts.
+
+    A paragraph is one INT: its number of words in the highest six bits, the rest a hash.
+    """
+    tokens = _TOKEN.findall(visible(text).casefold()) if text else []
+    if not tokens:
+        return None, _NONE
     known = _words.get
-    hashes = np.array([known(w) or _word(w) for w in words], np.uint64)
+    every = np.array([h if (h := known(t)) is not None else _word(t) for t in tokens], np.uint64)
+    is_word = every != 0
+    hashes = every[is_word]
+    if sum(map(len, tokens)) - 2 * (len(every) - len(hashes)) < MIN_LETTERS or not len(hashes):
+        return None, _NONE
     whole = xxhash.xxh64_intdigest(hashes.tobytes())
-    if len(words) < 2:
-        return whole, np.array([whole >> 33], np.int32)
-    pairs = (hashes[:-1] * _ODD[0] + hashes[1:] * _ODD[1]) >> np.uint64(33)
-    rank = np.uint64(127) - (hashes[:-1] & np.uint64(63)) - (hashes[1:] & np.uint64(63))
-    return whole, (np.unique(rank << np.uint64(32) | pairs) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+    sentence = np.cumsum(~is_word)[is_word]
+    ends = ((hashes >> np.uint64(17)) % np.uint64(ENDS)) == 0
+    starts = np.flatnonzero(np.r_[True, ends[:-1] | (sentence[1:] != sentence[:-1])])
+    sizes = np.diff(np.r_[starts, len(hashes)])
+    place = np.arange(len(hashes)) - np.repeat(starts, sizes)
+    if (sizes > LONGEST).any():  # cut every LONGEST words
+        starts = np.flatnonzero(np.r_[True, (place[1:] % LONGEST == 0)])
+        sizes = np.diff(np.r_[starts, len(hashes)])
+        place = np.arange(len(hashes)) - np.repeat(starts, sizes)
+    sums = np.add.reduceat((hashes ^ (hashes >> np.uint64(29))) * _PLACES[place], starts)
+    made = (sizes.astype(np.int64) << 25) | ((sums * _ODD[0]) >> np.uint64(39)).astype(np.int64)
+    return whole, np.unique(made)[::-1].astype(np.int32)
+
+
+def _weights(values: np.ndarray) -> np.ndarray:
+    return values >> 25
 
 
-def _prefix(pairs: np.ndarray) -> np.ndarray:
-    """The first pairs, of which a text that shares ``COVER`` of the pairs must have one among its own first."""
-    return pairs[: len(pairs) - math.ceil(COVER * len(pairs)) + 1].astype(np.uint64)
+def _prefix(values: np.ndarray) -> np.ndarray:
+    """The first paragraphs, of which a text that shares ``COVER`` of the words must have one among its own first."""
+    words = np.cumsum(_weights(values))
+    return values[: int(np.searchsorted(words, (1 - COVER) * words[-1], side="right")) + 1].astype(np.uint64) if len(values) else values.astype(np.uint64)
 
 
 FIELDS = ("item_id", "first_run_id", "url_key", "content_key", "kind", "group_url", "parent_post_url", "author_name", "text")
 SCHEMA = (
     "class bigint, item_id string, first_run_id string, post bigint, placed boolean, named boolean, author bigint, content bigint, "
-    "pairs array<int>, keys array<bigint>, open_keys array<bigint>"
+    "parts array<int>, keys array<bigint>, open_keys array<bigint>"
 )
 
 
@@ -151,21 +181,21 @@ class _Classes:
         if len(self.names) > 1 << 18:
             self.names.clear()
         name = self.names[a] if a in self.names else self.names.setdefault(a, author_of(a))
-        whole, pairs = _features(t) if scope else (None, np.empty(0, np.int32))
+        whole, parts = paragraphs(t) if scope else (None, _NONE)
         own = _hash(post, scope, name, c, whole, *([] if whole is not None else [t]))
         head = (own, _hash(post) if post else None, scope is not None, name is not None, _hash(name) if name is not None else None, _hash(scope, c) if scope and c else None)
         if own in self.met or scope is None:
             keys = np.array([_hash("id", post)] if post and own not in self.met else [], np.int64)
-            return head, pairs, keys, np.empty(0, np.int64)
+            return head, parts, keys, np.empty(0, np.int64)
         if len(self.met) < 1 << 20:
             self.met.add(own)
         where = xxhash.xxh64_intdigest(scope)
-        shared = np.append(_prefix(pairs), np.uint64(xxhash.xxh64_intdigest(c))) if c else _prefix(pairs)
+        shared = np.append(_prefix(parts), np.uint64(xxhash.xxh64_intdigest(c))) if c else _prefix(parts)
         # Classes with an author meet others of the same author; one without meets all of its scope (open keys).
         keys = [_mixed(shared, where, xxhash.xxh64_intdigest(name))] if name is not None else []
         if post:
             keys.append(np.array([_hash("id", post)], np.int64))
-        return head, pairs, np.concatenate(keys) if keys else np.empty(0, np.int64), _mixed(shared, where)
+        return head, parts, np.concatenate(keys) if keys else np.empty(0, np.int64), _mixed(shared, where)
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -195,16 +225,37 @@ def classified(rows: DataFrame) -> DataFrame:
 
 
 class History:
-    """The accepted rows' classes and keys, in bucketed tables under the shared folder."""
+    """The accepted rows' classes and keys, in bucketed tables under the shared folder.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+    buckets is the number of join tasks, slots (a multiple of it) the number of parts that a batch may leave unread:
+    give both by the size that the history will reach. ``with History(spark) as h`` removes the tables in the end.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int = 16, slots: int = 64) -> None:
+        if slots % buckets:
+            raise ValueError("slots must be a multiple of buckets")
         self.spark, self.path = spark, shared_path(spark, "history")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets, self.slots = buckets, slots
         self.name = "history_" + re.sub(r"\W", "_", self.path.rpartition("-")[2])
         self.batches = 0
 
+    def __enter__(self) -> History:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
+    def _slot(self, column: str) -> Column:
+        return F.pmod(F.hash(column), F.lit(self.slots))  # the hash that Spark's buckets go by
+
     def _append(self, df: DataFrame, kind: str, by: str) -> None:
-        df.write.mode("append").format("parquet").bucketBy(self.buckets, by).option("path", f"{self.path}/{kind}").saveAsTable(f"{self.name}_{kind}")
+        writer = df.write.mode("append").format("parquet").partitionBy("slot").bucketBy(self.buckets, by)
+        writer.option("path", f"{self.path}/{kind}").saveAsTable(f"{self.name}_{kind}")
+
+    def _part(self, kind: str, by: str, wanted: DataFrame) -> DataFrame:
+        """The slots of a table that hold one of wanted's values; their numbers, at most ``slots``, come to the driver."""
+        slots = [r[0] for r in wanted.select(self._slot(by)).distinct().collect()]
+        return self.spark.table(f"{self.name}_{kind}").where(F.col("slot").isin(slots) if slots else F.lit(False))
 
     def rows(self) -> DataFrame:
         """One row per accepted row, bucketed by class."""
@@ -215,26 +266,27 @@ class History:
         return self.spark.table(f"{self.name}_keys")
 
     def accept(self, rows: DataFrame) -> DataFrame:
-        """Appends a batch; the links (class_a, class_b) that it may make with history and within itself.
+        """Appends a batch; the verified links (class_a, class_b) that it makes with history and within itself.
 
-        Texts are read once, here; history takes part with its keys only, bucket by bucket. Keys of the open side
-        never meet unless one of the two classes has no author, so that a busy group does not multiply its rows.
+        Texts are read once, here. A class that the batch adds a further row to is linked with itself. Keys of the
+        open side never meet unless one of the two classes has no author, so that a busy group does not multiply
+        its rows.
         """
-        number = F.lit(self.batches)
-        self._append(classified(rows).withColumn("batch", number), "rows", "class")
-        batch = self.rows().where(F.col("batch") == self.batches)
+        number = self.batches
+        self._append(classified(rows).withColumn("batch", F.lit(number)).withColumn("slot", self._slot("class")).repartition("slot"), "rows", "class")
+        batch = self.rows().where(F.col("batch") == number)
         own = batch.select(F.explode("keys").alias("key"), "class", F.lit(False).alias("open"), "named")
         shared = batch.select(F.explode("open_keys").alias("key"), "class", F.lit(True).alias("open"), "named")
-        keys = own.unionByName(shared).repartition(self.buckets, "key").dropDuplicates(["key", "class", "open"])
-        self._append(keys.withColumn("batch", number), "keys", "key")
-        everything = self.keys().where(F.col("batch") <= self.batches)
-        new, old = everything.where(F.col("batch") == self.batches), everything.where(F.col("batch") < self.batches)
-        probe = F.expr("not open or not named")
-        found = self._meet(new.where(probe), everything)
-        if self.batches:
+        keys = own.unionByName(shared).withColumn("slot", self._slot("key")).repartition("slot").dropDuplicates(["slot", "key", "class", "open"])
+        self._append(keys.withColumn("batch", F.lit(number)), "keys", "key")
+        new = self.keys().where(F.col("batch") == number)
+        everything = self._part("keys", "key", new).where(F.col("batch") <= number)
+        found = self._meet(new.where("not open or not named"), everything)
+        if number:
+            old = everything.where(F.col("batch") < number)
             found = found.unionByName(self._meet(new.where("open and named"), old.where("open and not named")))
         self.batches += 1
-        return found
+        return self._verified(cut(found.distinct())).unionByName(self._own_links(batch))
 
     @staticmethod
     def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -242,31 +294,35 @@ class History:
         both = a.join(b, "key").where("x <> y")
         return both.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).distinct()
 
-    def verified(self, found: DataFrame) -> DataFrame:
+    def _verified(self, pairs: DataFrame) -> DataFrame:
         """The candidate links that hold: one post id, or text and author of rows of which one names no post."""
-        pairs = cut(found.distinct())
         wanted = pairs.select(F.col("class_a").alias("class")).union(pairs.select("class_b")).distinct()
-        side = self.rows().select("class", "post", "author", "content", "pairs").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+        part = self._part("rows", "class", wanted)
+        side = part.select("class", "post", "author", "content", "parts").join(wanted, "class", "left_semi").dropDuplicates(["class"])
         for x in "ab":
             pairs = pairs.join(side.select(F.col("class").alias(f"class_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in side.columns[1:]]), f"class_{x}")
-        common = F.size(F.array_intersect("pairs_a", "pairs_b"))
-        alike = F.coalesce(F.col("content_a") == F.col("content_b"), F.lit(False)) | (common >= COVER * F.greatest(F.size("pairs_a"), F.size("pairs_b"), F.lit(1)))
+        words = [F.aggregate(v, F.lit(0), lambda n, p: n + F.shiftright(p, 25)) for v in (F.array_intersect("parts_a", "parts_b"), F.col("parts_a"), F.col("parts_b"))]
+        alike = F.coalesce(F.col("content_a") == F.col("content_b"), F.lit(False)) | (words[0] >= COVER * F.greatest(words[1], words[2], F.lit(1)))
         authors = F.col("author_a").isNull() | F.col("author_b").isNull() | (F.col("author_a") == F.col("author_b"))
         nameless = F.col("post_a").isNull() | F.col("post_b").isNull()
         same = F.coalesce(F.col("post_a") == F.col("post_b"), F.lit(False))
         return pairs.where(same | (nameless & authors & alike)).select("class_a", "class_b")
 
-    def own_links(self) -> DataFrame:
-        """Classes of several rows that are one post: a post id, or a place with a content key or a text of some length."""
-        one_post = "post is not null or (placed and (content is not null or size(pairs) > 0))"
-        classes = self.rows().where(one_post).groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
-        return classes.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
+    def _own_links(self, batch: DataFrame) -> DataFrame:
+        """Classes of a batch with several rows that are one post: a post id, or a place with a content key or a text of some length."""
+        one_post = "post is not null or (placed and (content is not null or size(parts) > 0))"
+        added = batch.where(one_post).select("class").distinct()
+        counted = self._part("rows", "class", added).select("class").join(added, "class", "left_semi").groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
+        return counted.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
+
+    def members(self, links: DataFrame) -> DataFrame:
+        """class, item_id, first_run_id of the rows of linked classes."""
+        wanted = links.select(F.col("class_a").alias("class")).union(links.select("class_b")).distinct()
+        return self.rows().select("class", "item_id", "first_run_id").join(wanted, "class", "left_semi")
 
     def row_pairs(self, links: DataFrame) -> DataFrame:
         """item_a, item_b of different runs behind links of classes; a large class is split over salts."""
-        links = cut(links)
-        wanted = links.select(F.col("class_a").alias("class")).union(links.select("class_b")).distinct()
-        members = self.rows().select("class", "item_id", "first_run_id").join(wanted, "class", "left_semi")
+        members = self.members(links)
         sizes = members.groupBy("class").agg((F.count("*") / MEMBERS_PER_SALT).cast("int").alias("parts")).withColumnRenamed("class", "class_a")
         a = members.select(F.col("class").alias("class_a"), F.col("item_id").alias("x"), F.col("first_run_id").alias("run_x"))
         b = members.select(F.col("class").alias("class_b"), F.col("item_id").alias("y"), F.col("first_run_id").alias("run_y"))
@@ -279,6 +335,7 @@ class History:
     def drop(self) -> None:
         for kind in ("rows", "keys"):
             self.spark.sql(f"drop table if exists {self.name}_{kind}")
+        remove(self.spark, self.path)
 
 
 def batches_of(items: DataFrame, runs: DataFrame, batches: int) -> list[DataFrame]:
@@ -290,11 +347,32 @@ def batches_of(items: DataFrame, runs: DataFrame, batches: int) -> list[DataFram
     return [rows.where((F.col("_at") > low) & (F.col("_at") <= high)).drop("_at") for low, high in zip(edges, edges[1:], strict=False)]
 
 
+def _links(history: History, items: DataFrame, runs: DataFrame, batches: int) -> DataFrame:
+    found = [cut(history.accept(batch)) for batch in batches_of(items.select(*FIELDS), runs, batches)]
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return cut(links.distinct())
+
+
 def repeated_posts(items: DataFrame, runs: DataFrame, batches: int = 2) -> DataFrame:
     """item_a, item_b: rows of different runs that are the same post, found as the batches arrive in import order."""
-    history = History(items.sparkSession)
-    found = [history.accept(batch) for batch in batches_of(items.select(*FIELDS), runs, batches)]
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.unionByName(more)
-    return history.row_pairs(history.verified(candidates).unionByName(history.own_links()))
+    with History(items.sparkSession) as history:
+        return cut(history.row_pairs(_links(history, items, runs, batches)))
+
+
+def classes(items: DataFrame, runs: DataFrame, batches: int = 2) -> DataFrame:
+    """item_id, class, links: every row of items with its class of alike rows and the number of linked other classes.
+
+    Copies share a class and are not expanded into pairs; together with ``class_links`` this says as much as the pairs.
+    """
+    with History(items.sparkSession) as history:
+        links = _links(history, items, runs, batches).where("class_a <> class_b")
+        ends = links.select(F.col("class_a").alias("class")).unionAll(links.select("class_b")).groupBy("class").agg(F.count("*").alias("links"))
+        return cut(history.rows().select("item_id", "class").join(ends, "class", "left").select("item_id", "class", F.coalesce("links", F.lit(0)).alias("links")))
+
+
+def class_links(items: DataFrame, runs: DataFrame, batches: int = 2) -> DataFrame:
+    """class_a, class_b: the links between the classes of ``classes``; a class with itself where its own rows repeat."""
+    with History(items.sparkSession) as history:
+        return _links(history, items, runs, batches)

@@ -70,22 +70,18 @@ def texts(rng):
     return [" ".join(rng.sample(pool, rng.randrange(1, 6))) for _ in range(25)]
 
 
-def brute(rows, majority=False):
-    """Pairs that may be linked; with majority only those whose link must be found: no edited sentence is needed."""
-    out = set()
-    facts = []
+def brute(rows):
+    """All pairs by the definition, every row with every other."""
+    out, facts = set(), []
     for r in rows:
         scope = history.scope_of(r[4], r[5], r[6])
-        pairs = history._features(r[8])[1] if scope else []
-        lines = [" ".join(history._WORD.findall(s.casefold())) for s in history._SENTENCE.split(r[8] or "")] if len(pairs) else []
-        facts.append((history.post_id(r[2]), scope, history.author_of(r[7]), r[3], set(map(int, pairs)), {x for x in lines if x.count(" ") > 1}))
-    for x, (px, sx, ax, cx, bx, lx) in zip(rows, facts, strict=True):
-        for y, (py, sy, ay, cy, by, ly) in zip(rows, facts, strict=True):
+        parts = history.paragraphs(r[8])[1].tolist() if scope else []
+        facts.append((history.post_id(r[2]), scope, history.author_of(r[7]), r[3], set(parts), sum(p >> 25 for p in parts)))
+    for x, (px, sx, ax, cx, bx, nx) in zip(rows, facts, strict=True):
+        for y, (py, sy, ay, cy, by, ny) in zip(rows, facts, strict=True):
             if x[0] >= y[0] or x[1] == y[1]:
                 continue
-            common = len(bx & by) >= history.COVER * max(len(bx), len(by), 1)
-            if majority:
-                common = common and len(lx & ly) > max(len(lx), len(ly)) / 2
+            common = sum(p >> 25 for p in bx & by) >= history.COVER * max(nx, ny, 1)
             near = sx is not None and sx == sy and not (px and py) and (not ax or not ay or ax == ay) and ((cx and cx == cy) or common)
             if (px and px == py) or near:
                 out.add((x[0], y[0]))
@@ -106,9 +102,15 @@ def test_pairs_equal_brute_force(spark, batches):
     df = spark.createDataFrame(rows, FIELDS)
     runs = spark.createDataFrame([(f"r{k}", f"2026-01-{k + 1:02}T00:00:00Z") for k in range(9)], "run_id string, imported_at string")
     got = [tuple(r) for r in history.repeated_posts(df, runs, batches).collect()]
-    assert len(got) == len(set(got)) and brute(rows, majority=True) <= set(got) <= brute(rows)
-    assert len(got) > 0.95 * len(brute(rows))
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
     assert history.repeated_posts(df.limit(0), runs, 1).count() == 0
+    # The form by classes says the same.
+    of = {r.item_id: r["class"] for r in history.classes(df, runs, batches).collect()}
+    assert set(of) == {r[0] for r in rows}
+    links = {tuple(r) for r in history.class_links(df, runs, batches).collect()}
+    run = {r[0]: r[1] for r in rows}
+    assert {(x, y) for x in of for y in of if x < y and run[x] != run[y] and ((of[x], of[y]) in links or (of[y], of[x]) in links)} == set(got)
+    assert spark.catalog.listTables() == [] or not [t for t in spark.catalog.listTables() if t.name.startswith("history_")]
 
 
 def test_copies_in_salted_classes(spark, monkeypatch):
@@ -131,18 +133,44 @@ def test_texts_of_short_sentences_without_an_author(spark, batches):
     assert {tuple(r) for r in history.repeated_posts(df, runs, batches).collect()} == brute(rows)
 
 
-def test_small_edits_in_brief_texts(spark):
+def test_small_edits_leave_most_paragraphs(spark):
     rng = random.Random(8)
     words = [f"{a}{b}{c}" for a in "bdgklmnprst" for b in "aeiou" for c in "nrst"]
-    rows = []
+    rows, edits = [], 0
     for k in range(300):
-        text = rng.choices(words, k=rng.randrange(8, 14))
-        edited = [*text]
-        for n in rng.sample(range(1, len(text) - 1), rng.randrange(1, 3)):
+        text = rng.choices(words, k=rng.randrange(30, 70))
+        for n in range(9, len(text), 10):
+            text[n] += "."
+        edited = ["Again:", *text]
+        for n in rng.sample(range(1, len(edited) - 1), rng.randrange(1, 4)):
             edited[n] += "x"
         for n, (line, author) in enumerate([(text, "Ann Lee"), (edited, rng.choice(["Ann Lee", None]))]):
             rows.append((f"i{k:03}{n}", f"r{n}", None, None, "group_post", f"https://x.example/groups/{k % 7}/", None, author, " ".join(line), ""))
+        edits += (f"i{k:03}0", f"i{k:03}1") in brute(rows[-2:])
     rows += [("j0", "r0", None, None, "group_post", "https://x.example/groups/0/", None, None, "Disconnectedly", ""), ("j1", "r1", None, None, "group_post", "https://x.example/groups/0/", None, None, "Reestablishments", "")]
     runs = spark.createDataFrame([(f"r{k}", f"2026-01-{k + 1:02}T00:00:00Z") for k in range(2)], "run_id string, imported_at string")
     want = brute(rows)
-    assert len(want) > 250 and {tuple(r) for r in history.repeated_posts(spark.createDataFrame(rows, FIELDS), runs, 2).collect()} == want
+    assert edits > 290 and {tuple(r) for r in history.repeated_posts(spark.createDataFrame(rows, FIELDS), runs, 2).collect()} == want
+
+
+def test_paragraphs_of_odd_texts():
+    assert history.paragraphs(None)[0] is None and len(history.paragraphs("Ok. 12!")[1]) == 0
+    long = " ".join(f"w{k}" for k in range(5000))
+    parts = history.paragraphs(long)[1]
+    assert sum(int(p) >> 25 for p in parts) == 5000 and max(int(p) >> 25 for p in parts) <= history.LONGEST
+    cut = " ".join("same" for _ in range(500))  # no word of it ends a paragraph, or every one does
+    assert 1 <= len(history.paragraphs(cut)[1]) <= 2
+    assert history.paragraphs("The Pump. is old, very old")[0] == history.paragraphs("the pump is OLD very old")[0]
+
+
+@pytest.mark.parametrize("batches", [2, 4, 8])
+def test_a_batch_reads_what_it_meets(spark, batches):
+    """The parts of the history that a batch reads go by the batch's keys, however many batches came before."""
+    with history.History(spark, buckets=2, slots=64) as h:
+        for n in range(batches):
+            rows = [(f"i{n}{k}", f"r{n}", f"url:/groups/1/posts/{n}{k}/", None, "group_post", None, None, None, None, "") for k in range(30 if n < batches - 1 else 3)]
+            h.accept(spark.createDataFrame(rows, FIELDS))
+        last = h.keys().where(f"batch = {batches - 1}")
+        met = h._part("keys", "key", last).where(f"batch < {batches - 1}")
+        assert last.count() == 3 and len({f.split("slot=")[1].split("/")[0] for f in met.inputFiles()}) <= 3
+        assert h.keys().count() == 30 * (batches - 1) + 3
