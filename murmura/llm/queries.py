@@ -14,6 +14,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible.same_looking_pairs(table(spark, sf_dir, "items"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field_name, item_id, links: the same without expansion into pairs, one row per row and field."""
+    return visible.same_looking_classes(table(spark, sf_dir, "items")).drop("class")
+
+
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id with the consistent form of its text and author name."""
     items = table(spark, sf_dir, "items")
@@ -39,6 +44,11 @@ def _moderation(spark: SparkSession, sf_dir: str) -> tuple:
     return moderation.fit(table(spark, sf_dir, "moderation_samples"))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id with its class of alike rows and the number of linked other classes, without expansion into pairs."""
+    return history.classes(table(spark, sf_dir, "items"), table(spark, sf_dir, "runs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id of every item whose text is abusive, hateful or sexual."""
     items = spread(table(spark, sf_dir, "items").select("item_id", "text"))
@@ -104,7 +114,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.source_profile(documents, table(spark, sf_dir, "reading_samples"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_forms": p1_forms, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_scores": p5_scores, "p5_rates": p5_rates, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_profile": p10_profile}
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 _BLANKS = "\t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
@@ -118,11 +128,25 @@ def _looks_sql() -> str:
     for form, letters in (("\ufb03", "ffi"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb00", "ff"), ("\u2026", "...")):
         x = f"replace({x}, '{form}', '{letters}')"
     (cyrillic, c), (greek, g) = visible.CYRILLIC, visible.GREEK
-    return f"nfc_normalize(translate({x}, '{cyrillic}{greek}', '{c}{g}'))"
+    return f"replace(nfc_normalize(translate({x}, '{cyrillic}{greek}', '{c}{g}')), '\ue000', '\u200d')"
 
 
-SQL: dict[str, str] = {
-    "p1_found": "WITH v AS (SELECT item_id, 'text' AS field_name, text AS value FROM items UNION ALL SELECT item_id, 'author_name', author_name FROM items), "
+_LOOKS = (
+    "WITH v AS (SELECT item_id, 'text' AS field_name, text AS value FROM items UNION ALL SELECT item_id, 'author_name', author_name FROM items), "
     f"f AS (SELECT item_id, field_name, value, {_looks_sql()} AS looks FROM v WHERE trim(value) <> '') "
-    "SELECT a.field_name, a.item_id AS item_a, b.item_id AS item_b FROM f a JOIN f b ON a.field_name = b.field_name AND a.looks = b.looks WHERE a.item_id < b.item_id AND a.value <> b.value",
+)
+_SPACES = "[\\t\\n\\v\\f\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000} ]+"
+
+
+def _form_sql(field: str) -> str:
+    """The canonical form, as far as the characters of the tables go: case folds as lower case, but for sharp s and final sigma."""
+    folded = f"replace(replace(lower({_looks_sql().replace('value', field)}), 'ß', 'ss'), 'ς', 'σ')"
+    return f"regexp_replace(regexp_replace({folded}, '{_SPACES}', ' ', 'g'), '^ | $', '', 'g')"
+
+
+SQL: dict[str, str] = {
+    "p1_found": _LOOKS + "SELECT a.field_name, a.item_id AS item_a, b.item_id AS item_b FROM f a JOIN f b ON a.field_name = b.field_name AND a.looks = b.looks WHERE a.item_id < b.item_id AND a.value <> b.value",
+    "p1_classes": _LOOKS + ", n AS (SELECT field_name, looks, count(*) AS n FROM f GROUP BY ALL), s AS (SELECT field_name, looks, value, count(*) AS n FROM f GROUP BY ALL) "
+    "SELECT f.field_name, f.item_id, n.n - s.n AS links FROM f JOIN n USING (field_name, looks) JOIN s ON s.field_name = f.field_name AND s.looks = f.looks AND s.value = f.value",
+    "p1_forms": f"SELECT item_id, {_form_sql('text')} AS text_form, {_form_sql('author_name')} AS author_form FROM items",
 }

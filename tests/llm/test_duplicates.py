@@ -34,6 +34,53 @@ def test_best_values(spark, runs):
     assert survivors.survivors(df.limit(0), runs).count() == 0 and survivors.survivors(df, runs.limit(0)).count() == 5  # the year 9999 is no date
 
 
+@pytest.mark.parametrize(
+    ("text", "broken"),
+    [("Is it working???", False), ("Really???? I paid", False), ("What?? Why??", False), ("split u??? ?? ????", True), ("my ???? broke", True), ("caf??s here", True), ("caf\ufffd", True), ("?????", False), ("", False), (None, False)],
+)
+def test_questions_are_no_damage(text, broken):
+    assert (survivors.text_state(text)[2] >= 0) is broken
+
+
+def test_later_layers_fill_what_the_first_leaves_null(spark, runs):
+    quote = "May be an image of text that says 'Sale'"
+    rows = [
+        ("a", "k", FULL, None, quote, "2026-03-01T10:00:00Z", "url:/x/"), ("b", "k", FULL[:60] + "…", "5 March 2026 at 10:00", None, "2026-02-01T10:00:00Z", None), ("c", "k", FULL[:60] + "…", "5 March 2026 at 10:00", None, "2026-01-05T10:00:00Z", None),
+        ("d", "k", None, "5 March 2026 at 10:00", None, None, "url:/photo/?fbid=1"),
+    ]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], ITEMS)
+    got = {r.field_name: r.item_id for r in survivors.survivors(df, runs).collect()}
+    # Only dominated rows state a time; of their own skyline (b by recency, d by trust) the more trusted one gives it.
+    assert got == {"text": "a", "image_text": "a", "last_seen": "a", "time_exact": "d"}
+
+
+def test_layers_equal_brute_force(spark, runs, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        rows.append((f"i{k:03}", f"k{k % 12}", rng.choice([None, FULL, FULL + " And more of it.", FULL[:50] + "…"]), rng.choice([None, None, "5 March 2026 at 10:00"]), rng.choice([None, "May be text that says 'A'", "May be text that says 'A b'"]), rng.choice([None, f"2026-02-{rng.randrange(1, 28):02}T10:00:00Z"]), rng.choice([None, "url:/photo/?fbid=1", "url:/x/"]), "", ""))
+    df = spark.createDataFrame(rows, ITEMS)
+
+    def vector(r):
+        return (len(r[2]) if r[2] and "…" not in r[2] else -1, survivors.quote_length(r[4]), r[5] or "", 0 if not r[6] else 1 if "photo" in r[6] else 2)
+
+    want = set()
+    for key in {r[1] for r in rows}:
+        left, missing = [r for r in rows if r[1] == key], {"text": 0, "time_exact": None, "image_text": 1, "last_seen": 2}
+        held = {"text": lambda r: vector(r)[0] >= 0, "time_exact": lambda r: r[3], "image_text": lambda r: vector(r)[1] >= 0, "last_seen": lambda r: r[5]}
+        while left and missing:
+            layer = [r for r in left if not any(all(a >= b for a, b in zip(vector(o), vector(r), strict=True)) and vector(o) != vector(r) for o in left)]
+            for f in [f for f in missing if any(held[f](r) for r in layer)]:
+                q = missing.pop(f)
+                v = [(vector(r), r) for r in layer if held[f](r)]
+                best = max((d[q] if q is not None else 0, d[3], d[2], d[0], d[1]) for d, _ in v)
+                want.add((key, f, min(r[0] for d, r in v if (d[q] if q is not None else 0, d[3], d[2], d[0], d[1]) == best)))
+            left = [r for r in left if r not in layer and any(held[f](r) for f in missing)]
+    for salt in (5000, 4):
+        monkeypatch.setattr(survivors, "SALT_ROWS", salt)
+        assert {tuple(r) for r in survivors.survivors(df, runs).collect()} == want
+
+
 def test_salted_groups_give_the_same(spark, runs, monkeypatch):
     rng = random.Random(2)
     rows = []
