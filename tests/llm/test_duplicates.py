@@ -61,8 +61,10 @@ def test_layers_equal_brute_force(spark, runs, monkeypatch):
         rows.append((f"i{k:03}", f"k{k % 12}", rng.choice([None, FULL, FULL + " And more of it.", FULL[:50] + "…"]), rng.choice([None, None, "5 March 2026 at 10:00"]), rng.choice([None, "May be text that says 'A'", "May be text that says 'A b'"]), rng.choice([None, f"2026-02-{rng.randrange(1, 28):02}T10:00:00Z"]), rng.choice([None, "url:/photo/?fbid=1", "url:/x/"]), "", ""))
     df = spark.createDataFrame(rows, ITEMS)
 
-    def vector(r):
-        return (len(r[2]) if r[2] and "…" not in r[2] else -1, survivors.quote_length(r[4]), r[5] or "", 0 if not r[6] else 1 if "photo" in r[6] else 2)
+    longest = {key: max(len(r[2] or "") for r in rows if r[1] == key) for key in {r[1] for r in rows}}
+
+    def vector(r):  # a text shorter than another of its group is not complete
+        return (len(r[2]) if r[2] and "…" not in r[2] and len(r[2]) == longest[r[1]] else -1, survivors.quote_length(r[4]), r[5] or "", 0 if not r[6] else 1 if "photo" in r[6] else 2)
 
     want = set()
     for key in {r[1] for r in rows}:
