@@ -2,8 +2,8 @@
 
 Spans are proposed by regular expressions on a folded copy of the text (look-alikes, full-width digits and
 invisible characters resolved, positions kept), confirmed by validators (Luhn for card numbers, mod-97 for
-account numbers, digit counts and shapes for the rest) and weighed by the words around them. A span counts when
-its score reaches ``ACCEPT``.
+account numbers, the check letter or digit of the identity numbers that have one, digit counts and shapes for the
+rest) and weighed by the words around them. A span counts when its score reaches ``ACCEPT``.
 
 Defined results: null stays null with no spans; empty stays empty; overlapping spans resolve to the higher
 score, then the longer, then the earlier one; a text is read as a whole, however long.
@@ -11,6 +11,7 @@ score, then the longer, then the earlier one; a text is read as a whole, however
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ PHONE_WORDS = r"call|phone|ph|tel|mob(?:ile)?|cell|whatsapp|number|número|telé
 ID_WORDS = r"cnic|nic|nicop|passport|pasaporte|pasaporte|licen[cs]e|licencia|lisensya|ssn|national id|identity|id card|id number|identification|dni|cédula|cedula|aadhaar|aadhar|شناختی|पासपोर्ट|आधार"
 CODE_WORDS = r"order|ref(?:erence)?|serial|s/?n|item|code|model|firmware|version|meter|reading|invoice|tracking|batch|lot|sku|size|total|page|open|slots|string|voltage|rs|pkr|price|part"
 STREET_WORDS = r"street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|blvd|boulevard|close|gali|mohalla|calle|avenida|piso|barangay"
+CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+VERHOEFF_STEP = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
 BUSINESS_WORDS = (
     "traders repair point supply co depot tools house electronics home services energy mart solar shop store company center centre power "
     "support helpline team desk office page group club market power town city colony school bank housing block enclave extension villa sector phase floor second first third ground"
@@ -47,9 +50,9 @@ EMAIL = re.compile(
     re.I,
 )
 _NUMBER = re.compile(r"(?<![\w@,])(?<![\w][-./])(?:\+|00)?\(?\d(?:(?:[ \-.]|\) ?| ?\()?\d){6,15}(?![\w])(?![-/]\w)(?!,\d)")
-_ID_SHAPED = re.compile(r"(?<![\w-])(?:[A-Z]{1,3}-?\d{6,9}|\d{5}-\d{7}-\d|\d{3}-\d{2}-\d{4}|\d{4}-\d{4}-\d{4}|\d{5} \d{7} \d|\d{12,13}|\d{9})(?![\w-])")
+_ID_SHAPED = re.compile(r"(?<![\w-])(?:[A-Z]{1,3}-?\d{6,9}|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|\d{4} \d{4} \d{4}|\d{5}-\d{7}-\d|\d{3}-\d{2}-\d{4}|\d{4}-\d{4}-\d{4}|\d{5} \d{7} \d|\d{12,13}|\d{9})(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_NEAR_ID = re.compile(rf"(?<!\w)(?:{ID_WORDS})(?!\w)[\s.:#]*(?:card)?[\s.:#]*(?:no|number|nr|num|número|is)?[\s.:#]*$", re.I)
+_NEAR_ID = re.compile(rf"(?<!\w)(?:{ID_WORDS})(?!\w)[\s.:#]*(?:(?:card|no|number|nr|num|número|numero|is|was|es|hai|ay)(?!\w)[\s.:#]*){{0,3}}$", re.I)
 _NEAR_PHONE = re.compile(rf"(?:(?<!\w)(?:{PHONE_WORDS}))(?!\w)[^.!?\n।؟۔]{{0,25}}$", re.I)
 _NEAR_CODE = re.compile(rf"(?<!\w)(?:{CODE_WORDS})(?!\w)[\s.:#]*(?:no|number|nr|code)?[\s.:#]*$", re.I)
 
@@ -59,6 +62,8 @@ _ADDRESS = re.compile(
     r"|,? \d{1,5} (?:[a-z']+ ){1,3}(?:street|st|road|rd|avenue|ave|lane|ln|drive)\b\.?"
     r"|,? (?:[a-z']+ ){1,3}(?:street|st|road|rd|avenue|ave|lane|ln|drive)\b\.?)"
     r"(?:(?:, ?| )(?:near )(?-i:[A-Z][\w-]+)(?: (?-i:[A-Z][\w-]+)){0,2}|, ?(?-i:[A-Z][\w-]+)(?: (?-i:[A-Z][\w-]+)){0,2})?"
+    r"|(?:مکان|گھر|فلیٹ|پلاٹ|مكان|منزل|شقة|मकान|घर|फ्लैट|प्लॉट) ?(?:نمبر|رقم|नंबर|नं\.?)? ?#? ?\d{1,5}[a-z]?(?!\w)[،,]? ?(?:گلی|سڑک|روڈ|بلاک|شارع|गली|सड़क|रोड|ब्लॉक)(?: (?:نمبر|رقم|नंबर|नं\.?))? ?#? ?\d{1,4}"
+    r"|(?:شارع) (?:[\u0621-\u064a]+ ){1,3}(?:رقم )?\d{1,5}"
     r"|(?:calle|avenida|av\.|carrera) (?:[a-záéíóúñ']+ ){1,3}\d{1,5}(?:, ?(?:piso|apto|casa)\.? ?\d{1,4})?"
     r"|\d{1,5}(?:-?[a-z])? (?:(?-i:[A-Z][a-z']+|[A-Z]+) ){1,3}(?:street|st|road|rd|avenue|ave|lane|ln|drive)\b\.?(?:, ?(?:flat|apt|unit|floor) ?\d{1,4}[a-z]?|, ?(?-i:[A-Z][\w-]*)(?: (?-i:[A-Z][\w-]*)){0,3})?"
     r")",
@@ -69,11 +74,13 @@ _CAP = r"[\p{Lu}][\p{L}\p{M}'’\-]+"
 _NAME = rf"(?P<name>{_CAP}(?: {_CAP}){{1,2}}?)"
 # Words before or after a capitalised pair that make it a person's name (fixed values).
 _NAME_BEFORE = (
-    r"my (?:brother|sister|cousin|uncle|aunt|friend|neighbour|neighbor|husband|wife|son|daughter|father|mother)|thanks to|contact person:?|ask for|regards,?|my name is|i am|mr\.?|mrs\.?|ms\.?|dr\.?|"
+    r"(?:my|our|his|her|their) (?:brother|sister|cousin|uncle|aunt|friend|neighbour|neighbor|husband|wife|son|daughter|father|mother|landlord|landlady|tenant|boss|manager|colleague|teacher|doctor|lawyer|driver|electrician|plumber|partner|nephew|niece)|thanks to|contact person:?|ask for|regards,?|my name is|i am|mr\.?|mrs\.?|ms\.?|dr\.?|"
     r"mere bhai|meri behan|mere dost|mera naam|si|hanapin si|ni|kay|mi (?:vecin[ao]|hermano|hermana|prim[ao]|amig[ao]|tí[ao])|pregunten por|gracias a|me llamo|señora?|salamat kay|shukriya|—|–|signed|attn:?"
 )
 _NAME_AFTER = r"from the \p{L}+ floor|sahab|sahib|sahiba|se baat|ne lagaya|ang nag|lo instal|has the keys|fitted it|saheb"
 _NAME_CUED = regex.compile(rf"(?:^|(?<=[\s(\"'“‘]))(?i:{_NAME_BEFORE}) {_NAME}(?![\p{{L}}])|(?:^|(?<![\p{{L}}])){_NAME} (?i:{_NAME_AFTER})(?![\p{{L}}])|(?:^|(?<![\p{{L}}])){_NAME} (?i:{_NAME_AFTER})")
+#: A surname before the given name, with what persons do after it.
+_NAME_TURNED = regex.compile(rf"(?:^|(?<=[\s(\"'“‘]))(?P<name>{_CAP}, {_CAP})(?= (?:called|said|says|came|phoned|wrote|lives|told|asked|works|sent|paid|signed|visited|answered)(?![\p{{L}}]))")
 _NAME_HINT = regex.compile(rf"(?i)(?<![\p{{L}}])(?:{_NAME_BEFORE}|{_NAME_AFTER})")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pii_type", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -92,6 +99,28 @@ def mod97(account: str) -> bool:
     return turned.isalnum() and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def check_letter(number: str) -> bool:
+    """Whether the last letter of an identity number fits its digits modulo 23; a leading X, Y or Z counts as 0, 1 or 2."""
+    plain = number.replace("-", "").upper()
+    digits = plain[:-1].translate(str.maketrans("XYZ", "012"))
+    return digits.isdigit() and plain[-1] == CHECK_LETTERS[int(digits) % 23]
+
+
+def verhoeff(digits: str) -> bool:
+    """Whether a digit string passes the Verhoeff check: products in the symmetry group of the pentagon come to 0."""
+
+    def times(a: int, b: int) -> int:
+        turned = (a + b) % 5 if a < 5 else (a - b) % 5
+        return turned if (a < 5) == (b < 5) else turned + 5
+
+    total = 0
+    for place, d in enumerate(map(int, reversed(digits))):
+        for _ in range(place % 8):
+            d = VERHOEFF_STEP[d]
+        total = times(total, d)
+    return total == 0
+
+
 def folded(text: str) -> tuple[str, list[int] | None]:
     """text with look-alikes resolved, and the position in text of each of its characters (None: the same)."""
     if text.isascii():
@@ -132,6 +161,10 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, float]]:
         before = text[max(0, m.start() - 40) : m.start()]
         if _NEAR_ID.search(before):
             yield m.start(), m.end(), "id_number", 0.95
+        elif re.fullmatch(r"[XYZ\d]-?\d{7}-?[A-Z]", m[0]) and check_letter(m[0]) and not _NEAR_CODE.search(before):
+            yield m.start(), m.end(), "id_number", 0.7
+        elif re.fullmatch(r"[2-9]\d{3} \d{4} \d{4}", m[0]) and verhoeff(m[0].replace(" ", "")) and not _NEAR_CODE.search(before) and not _NEAR_PHONE.search(before):
+            yield m.start(), m.end(), "id_number", 0.7
         elif re.fullmatch(r"\d{5}-\d{7}-\d", m[0]) and not _NEAR_CODE.search(before):
             yield m.start(), m.end(), "id_number", 0.8
     for m in _NUMBER.finditer(text):
@@ -162,6 +195,9 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, float]]:
 
 
 def _names(text: str) -> Iterator[tuple[int, int, str, float]]:
+    for m in _NAME_TURNED.finditer(text):
+        if not any(w.lower() in BUSINESS_WORDS or w.lower() in FUNCTION_WORDS for w in m["name"].split(", ")):
+            yield *m.span("name"), "name", 0.8
     for m in _NAME_CUED.finditer(text, overlapped=True):
         start, end = m.span("name")
         words = m["name"].split()
@@ -186,13 +222,13 @@ def spans(text: str | None, types: tuple[str, ...] = TYPES) -> list[tuple[int, i
         found += _numbers(plain)
         if "address" in types:
             found += [(m.start(), m.end(), "address", 0.8) for m in _ADDRESS.finditer(plain)]
-    if "name" in types and _NAME_HINT.search(plain):
+    if "name" in types and (_NAME_HINT.search(plain) or ", " in plain):
         found += _names(plain)
-    chosen: list[tuple[int, int, str, float]] = []
+    chosen: list[tuple[int, int, str, float]] = []  # in order, without overlap
     for span in sorted((s for s in found if s[3] >= ACCEPT and s[2] in types), key=lambda s: (-s[3], s[0] - s[1], s[0])):
-        if all(span[1] <= s[0] or span[0] >= s[1] for s in chosen):
-            chosen.append(span)
-    chosen.sort()
+        at_most = bisect.bisect_left(chosen, span)
+        if (not at_most or chosen[at_most - 1][1] <= span[0]) and (at_most == len(chosen) or chosen[at_most][0] >= span[1]):
+            chosen.insert(at_most, span)
     if at is None:
         return chosen
     return [(at[a], at[b - 1] + 1, t, s) for a, b, t, s in chosen]

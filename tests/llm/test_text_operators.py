@@ -144,13 +144,32 @@ def test_relabelled(spark):
         ("Write to a.b+c@mail.example today", {"email"}), ("a.b (at) mail [dot] example", {"email"}), ("Call me on 0399-1234567.", {"phone"}), ("WhatsApp +92 399 1234567 any time", {"phone"}), ("☎ ０３９９ １２３４５６７", {"phone"}),
         ("0 3 9 9 1 2 3 4 5 6 7", {"phone"}), ("CNIC 35202-1234567-1", {"id_number"}), ("They asked for my passport no. ZZ1234567", {"id_number"}), ("SSN 904-41-3516", {"id_number"}), ("I live at House 12, Street 3, Noor Colony", {"address"}),
         ("Deliver to 119 Old Mill Road, Flat 38A", {"address"}), ("Vivo en Calle Lotus 62, piso 25", {"address"}), ("Thanks to Ann Corpora for the help", {"name"}), ("Ask for Solara Traders at the gate", set()), ("Order ref 123-4567-890", set()),
-        ("Rs 123,456 for 12 panels x 550 W", set()), ("Serial no. SN-1234-567890", set()), ("Card 4111 1111 1111 1111 expired", {"card"}), ("IBAN GB82 WEST 1234 5698 7654 32", {"account"}), ("See you in Townville on 2026-03-05", set()), ("", set()), (None, set()), (LONG, set()),
+        ("Rs 123,456 for 12 panels x 550 W", set()), ("Serial no. SN-1234-567890", set()), ("Card 4111 1111 1111 1111 expired", {"card"}), ("IBAN GB82 WEST 1234 5698 7654 32", {"account"}), ("See you in Townville on 2026-03-05", set()), ("My landlord Jordan Blake will open the gate", {"name"}), ("Perez, Maria called twice", {"name"}), ("DNI 12345678Z", {"id_number"}), ("12345678Z is mine", {"id_number"}), ("12345678A is a part", set()),
+        ("Passport number is AB1234567", {"id_number"}), ("مکان نمبر 12، گلی نمبر 4", {"address"}), ("मकान नंबर 12, गली नंबर 4", {"address"}), ("Karachi, Lahore are towns", set()), ("Meter 2341 2341 2346", set()), ("", set()), (None, set()), (LONG, set()),
     ],
 )
 def test_personal(text, kinds):
     assert {s[2] for s in personal.spans(text)} == kinds
 
 
+def test_check_digits():
+    assert personal.verhoeff("2363") and not personal.verhoeff("2364") and not any(personal.verhoeff(f"236{d}") for d in "01245678 9".replace(" ", ""))
+    assert personal.check_letter("X1234567L") and personal.check_letter("12345678Z") and not personal.check_letter("12345678T")
+
+
+def test_spans_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "Call 0399-1234567 or mail a@mail.example, thanks. " * n
+        began = time.perf_counter()
+        assert len(personal.spans(text)) == 2 * n
+        return time.perf_counter() - began
+
+    seconds(50)
+    assert seconds(4000) < 30 * seconds(400)
+
+
 def test_redaction(spark):
     text = "Hi​! Mail a​.b@mail.example or call 0399-1234567, thanks"
     assert personal.redact(text)[0] == "Hi​! Mail [EMAIL] or call [PHONE], thanks"
