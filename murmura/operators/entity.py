@@ -32,23 +32,23 @@ def repaired(records: DataFrame) -> DataFrame:
     """Records with canonical URLs, without interface labels in names, filler in texts and image words in times."""
     out = records
     for c in ("post_url", "comment_url", "parent_post_url", "author_url", "group_url"):
-        out = out.withColumn(c, F.when(F.col(c) != "", F.coalesce(urls.mapped(urls.clean_url, F.col(c)), F.col(c))).otherwise(F.col(c)))
+        out = out.withColumn(c, F.when(F.col(c) != "", F.coalesce(urls.canonical_url(F.col(c)), F.col(c))).otherwise(F.col(c)))
     label = F.coalesce(F.lower(F.trim("author_name")).isin(list(V.UI_LABELS)), F.lit(False))
     described = F.coalesce(F.lower(F.trim("time_text")).rlike("^(?:may be|no photo description)"), F.lit(False))
     out = out.withColumns({
         "author_url": F.when(~label, F.col("author_url")), "author_name": F.when(~label, F.col("author_name")),
         "text": F.when(F.col("text") != "", X.clean_text(F.col("text"))).otherwise(F.col("text")), "time_text": F.when(~described, F.col("time_text")),
     })
-    derived = F.when((F.col("kind") == "photo") & (F.col("group_url") != ""), urls.mapped(urls.group_post_from_photo, F.col("post_url"), F.col("group_url")))
+    derived = F.when((F.col("kind") == "photo") & (F.col("group_url") != ""), urls.photo_group_post(F.col("post_url"), F.col("group_url")))
     out = out.withColumn("_derived", derived)
     return out.withColumns({"post_url": F.coalesce("_derived", "post_url"), "kind": F.when(F.col("_derived").isNotNull(), "group_post").otherwise(F.col("kind"))}).drop("_derived")
 
 
 def keyed(records: DataFrame) -> DataFrame:
     """Repaired records with url_key, content_key and their resolved times."""
-    key = urls.mapped(urls.url_key, *[F.col(c) for c in ("kind", "post_url", "comment_url", "author_url")])
-    parent = urls.mapped(lambda u: urls.url_key("post", u, None), F.col("parent_post_url"))
-    group = urls.mapped(urls.group_segment, F.col("group_url"))
+    key = urls.url_key(*[F.col(c) for c in ("kind", "post_url", "comment_url", "author_url")])
+    parent = urls.url_key(F.lit("post"), F.col("parent_post_url"), F.lit(None).cast("string"))
+    group = urls.group_of(F.col("group_url"))
     out = records.withColumns({"url_key": key, "_parent": parent, "_group": group})
     out = out.withColumn("content_key", X.content_key(F.col("text"), F.col("kind"), F.col("_group"), F.col("_parent")))
     when = times.resolve(F.col("time_exact"), F.col("time_text"), F.col("captured_at"), F.col("browser_utc_offset_minutes"))

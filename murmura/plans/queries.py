@@ -284,7 +284,7 @@ def exact_time_parse(spark, d):
 @query("SELECT item_id, regexp_replace(post_url, '#.*$', '') AS post_url, regexp_extract(post_url, '^https?://([^/?#]+)', 1) AS host, nullif(regexp_extract(post_url, '[?&]fbid=([^&#]*)', 1), '') AS fbid FROM items WHERE post_url IS NOT NULL")
 def url_parts(spark, d):
     rows = table(spark, d, "items").where("post_url is not null")
-    return rows.select("item_id", urls.mapped(urls.clean_url, F.col("post_url")).alias("post_url"), F.try_parse_url("post_url", F.lit("HOST")).alias("host"), F.try_parse_url("post_url", F.lit("QUERY"), F.lit("fbid")).alias("fbid"))
+    return rows.select("item_id", urls.canonical_url(F.col("post_url")).alias("post_url"), F.try_parse_url("post_url", F.lit("HOST")).alias("host"), F.try_parse_url("post_url", F.lit("QUERY"), F.lit("fbid")).alias("fbid"))
 
 
 @query("SELECT regexp_extract(post_url, '^https?://([^/?#]+)', 1) AS host, count(*) AS n FROM items WHERE post_url IS NOT NULL GROUP BY ALL")
@@ -294,7 +294,7 @@ def url_host_counts(spark, d):
 
 @query("SELECT CASE WHEN post_url IS NULL THEN 'none' ELSE 'external' END AS role, count(*) AS n FROM items GROUP BY ALL")
 def link_roles(spark, d):
-    return table(spark, d, "items").groupBy(urls.mapped(urls.link_role, F.col("post_url")).alias("role")).agg(F.count("*").alias("n"))
+    return table(spark, d, "items").groupBy(urls.role_of(F.col("post_url")).alias("role")).agg(F.count("*").alias("n"))
 
 
 # Facets and statistics

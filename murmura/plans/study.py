@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmura.functions import fixed_values as V
 from murmura.functions.text import MODES, clean_keyword
-from murmura.functions.urls import group_root
 
 MOST_SEARCHES = 50
+_GROUP = re.compile(rf"https?://(?:[\w-]+\.)*(?:{'|'.join(map(re.escape, V.SITE_HOSTS))})(?::\d*)?/+groups/+([^/?#]+)", re.I)
+
+
+def _group_address(url: str) -> str | None:
+    found = _GROUP.match(url.strip())
+    return f"{V.SITE}/groups/{found[1]}/" if found else None
 
 
 @dataclass
@@ -43,7 +50,7 @@ class Study:
         for k in map(clean_keyword, self.keywords):
             if k:
                 seen.setdefault(k.lower(), k)
-        roots = [group_root(g) for g in self.groups]
+        roots = [_group_address(g) for g in self.groups]
         problems = {
             "a study needs a name": not (self.name or "").strip(), "a study needs keywords": not seen, "a group URL is none": None in roots,
             f"match_mode must be one of {', '.join(MODES)}": self.match_mode not in MODES, "max_results must be 1 to 100": not 1 <= self.max_results <= 100,
