@@ -8,8 +8,8 @@ merged by declarative aggregates.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
+import heapq
 from collections import defaultdict
 
 import pandas as pd
@@ -74,23 +74,58 @@ def components(nodes: DataFrame) -> DataFrame:
         labels = step.select("seq", "component")
 
 
+class _Alike:
+    """The open items of one content key, to be looked up by author and URL in order of creation.
+
+    Heaps of creation numbers, one per author and one for all, each once for every item and once for those whose
+    URL key is missing or weak; an entry that no longer holds is dropped when it comes to the top.
+    """
+
+    def __init__(self) -> None:
+        self.items: dict[int, dict] = {}
+        self.heaps: dict[tuple[bool, str | None], list[int]] = defaultdict(list)
+
+    def put(self, item: dict) -> None:
+        """Takes an item in, or anew after its URL key or author changed."""
+        self.items[item["n"]] = item
+        for loose in (False, True)[: 1 + _is_loose(item)]:
+            for author in (None, item["author"]):
+                heapq.heappush(self.heaps[loose, author], item["n"])
+
+    def _first(self, loose: bool, author: str | None) -> int | None:
+        heap = self.heaps.get((loose, author))
+        while heap:
+            item = self.items[heap[0]]
+            if (not loose or _is_loose(item)) and (author is None or item["author"] == author):
+                return heap[0]
+            heapq.heappop(heap)
+        return None
+
+    def find(self, url: str | None, author: str) -> dict | None:
+        """The oldest item that may be the same post: one of two URL keys missing or weak, authors that do not differ."""
+        loose = url is not None and not _is_weak(url)
+        hits = [n for a in ((None,) if not author else ("", author)) if (n := self._first(loose, a)) is not None]
+        return self.items[min(hits)] if hits else None
+
+
 class _Fold:
     """The open items of one component while its records stream by."""
 
     def __init__(self) -> None:
         self.by_record: dict[str, dict] = {}
         self.by_url: dict[str, dict] = {}
-        self.by_content: dict[str, list[dict]] = defaultdict(list)
+        self.by_content: dict[str, _Alike] = defaultdict(_Alike)
         self.ids: set[str] = set()
 
-    def add(self, record: str, url: str | None, content: str | None, author: str) -> tuple[str, str, bool, bool]:
-        """(item_id, outcome, whether the record set the item's URL key, whether its key belongs to another item)."""
+    def add(self, record: str, url: str | None, content: str | None, author: str) -> tuple[str, str, bool, bool, str]:
+        """(item_id, outcome, whether the record set the item's URL key, whether its key belongs to another item, seed of the id)."""
         prior = self.by_record.get(record)
-        item = prior or (self.by_url.get(url) if url else None) or self._by_content(content, url, author)
+        item = prior or (self.by_url.get(url) if url else None) or (self.by_content[content].find(url, author) if content else None)
         outcome = "already_imported" if prior else "merged" if item else "new_items"
-        clash = sets = False
+        clash = sets = changed = False
         if item is None:
-            item = {"n": len(self.ids), "id": self._new_id(url or content or record), "url": None, "content": None, "author": ""}
+            seed = url or content or record
+            item = {"n": len(self.ids), "id": self._new_id(seed), "url": None, "content": None, "author": "", "seed": seed}
         if url and (item["url"] is None or (_is_weak(item["url"]) and not _is_weak(url))):
             owner = self.by_url.get(url)
             clash = owner is not None and owner is not item
@@ -98,30 +133,36 @@ class _Fold:
                 self.by_url.pop(item["url"], None)
                 item["url"], sets = url, True
                 self.by_url[url] = item
+        if author and not item["author"]:
+            item["author"], changed = author, True
         if content and item["content"] is None:
-            item["content"] = content
-            bisect.insort(self.by_content[content], item, key=lambda i: i["n"])  # looked through in order of creation
-        item["author"] = item["author"] or author
+            item["content"], changed = content, True
+        if changed and item["content"] is not None:
+            self.by_content[item["content"]].put(item)
         self.by_record[record] = item
-        return item["id"], outcome, sets, clash
-
-    def _by_content(self, content: str | None, url: str | None, author: str) -> dict | None:
-        for item in self.by_content.get(content, ()) if content else ():
-            known = item["url"]
-            one_post = known is None or url is None or known == url or _is_weak(known) or _is_weak(url)
-            if one_post and (not author or not item["author"] or author == item["author"]):
-                return item
-        return None
+        return item["id"], outcome, sets, clash, item["seed"]
 
     def _new_id(self, seed: str) -> str:
         n, made = 0, ""
         while not made or made in self.ids:
-            made = "i_" + hashlib.sha1((f"{seed}#{n}" if n else seed).encode()).hexdigest()[:12]
+            made = item_id(seed, n)
             n += 1
         self.ids.add(made)
         return made
 
 
+ID_DIGITS = 12
+
+
+def item_id(seed: str, n: int = 0) -> str:
+    """Id of an item by what it was first known by; n tells items of one id apart."""
+    return "i_" + hashlib.sha1((f"{seed}#{n}" if n else seed).encode()).hexdigest()[:ID_DIGITS]
+
+
+def _is_loose(item: dict) -> bool:
+    return item["url"] is None or _is_weak(item["url"])
+
+
 def _is_weak(key: str) -> bool:
     return key.startswith("url:/photo")
 
@@ -133,8 +174,8 @@ def _folded(batches):
         for seq, own, record, url, content, author in pdf.itertuples(index=False, name=None):
             if own != component:
                 component, fold = own, _Fold()
-            out.append((seq, *fold.add(record, url or None, content or None, author or "")))
-        yield pd.DataFrame(out, columns=["seq", "item_id", "outcome", "sets_key", "key_clash"])
+            out.append((seq, *fold.add(record, url or None, content or None, author or ""), component))
+        yield pd.DataFrame(out, columns=["seq", "item_id", "outcome", "sets_key", "key_clash", "seed", "component"])
 
 
 def assigned(records: DataFrame) -> DataFrame:
@@ -145,7 +186,27 @@ def assigned(records: DataFrame) -> DataFrame:
     found = components(narrow.select("seq", F.explode(tagged).alias("key")))
     rows = narrow.join(found, "seq").select("seq", "component", "record", "url_key", "content_key", "author")
     rows = rows.repartition("component").sortWithinPartitions("component", "seq")
-    return rows.mapInPandas(_folded, "seq bigint, item_id string, outcome string, sets_key boolean, key_clash boolean")
+    folded = rows.mapInPandas(_folded, "seq bigint, item_id string, outcome string, sets_key boolean, key_clash boolean, seed string, component bigint")
+    return with_own_ids(cut(folded)).drop("seed", "component")
+
+
+def with_own_ids(placed: DataFrame) -> DataFrame:
+    """placed with ids that no two components share.
+
+    A component makes its ids alone; where items of several have come to one id, the older keeps it. Among 10^8 items
+    some twenty do, so the joined table is tiny and the loop ends after a round or two.
+    """
+    n = 0
+    while True:
+        items = placed.groupBy("item_id", "component").agg(F.min("seq").alias("_first"), F.first("seed").alias("_seed"))
+        shared = items.groupBy("item_id").agg(F.count("*").alias("_n")).where("_n > 1").select("item_id")
+        later = items.join(shared, "item_id").withColumn("_k", F.row_number().over(Window.partitionBy("item_id").orderBy("_first"))).where("_k > 1")
+        n += 1
+        anew = F.concat(F.lit("i_"), F.substring(F.sha1(F.concat("_seed", F.lit("#"), (F.col("_k") + (n - 1)).cast("string"))), 1, ID_DIGITS))
+        fixed = cut(later.select("item_id", "component", anew.alias("_id")))
+        if fixed.isEmpty():
+            return placed
+        placed = cut(placed.join(fixed, ["item_id", "component"], "left").withColumn("item_id", F.coalesce("_id", "item_id")).select(placed.columns))
 
 
 def merged(records: DataFrame, placed: DataFrame) -> DataFrame:

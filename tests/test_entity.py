@@ -146,3 +146,28 @@ def test_labels_and_export(spark, root):
     assert spark.read.parquet(str(root / "parquet")).count() == 4
     with pytest.raises(ValueError, match="format"):
         labelled.export(str(root / "x"), "xlsx")
+
+
+def test_one_content_key_of_many_posts_is_folded_in_linear_time():
+    import time
+
+    def seconds(n):
+        fold, began = entity._Fold(), time.perf_counter()
+        for k in range(n):
+            fold.add(f"r|{k}", f"url:/posts/{k}/", "ck", f"author {k % 7}")
+        assert len(fold.ids) == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 40 * seconds(10_000)
+
+
+def test_ids_are_unique_over_components(spark, monkeypatch):
+    monkeypatch.setattr(entity, "ID_DIGITS", 2)
+    rows = [(k, k, f"i_{k % 30:02x}", "new_items", True, False, f"seed {k}") for k in range(90)] + [(100 + k, k, f"i_{k % 30:02x}", "merged", False, False, f"seed {k}") for k in range(90)]
+    placed = spark.createDataFrame(rows, "seq bigint, component bigint, item_id string, outcome string, sets_key boolean, key_clash boolean, seed string")
+    got = entity.with_own_ids(placed).collect()
+    owner = {}
+    for r in got:
+        assert owner.setdefault(r.item_id, r.component) == r.component
+    assert len(owner) == 90 and all(r.item_id == f"i_{r.component:02x}" for r in got if r.component < 30)
