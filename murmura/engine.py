@@ -21,9 +21,9 @@ class Engine:
         return cls(Tables(*[table(spark, folder, n) for n in ("items", "sightings", "runs", "labels")]))
 
     @classmethod
-    def of_runs(cls, spark: SparkSession, root: str, exclusions: DataFrame | None = None, label_log: DataFrame | None = None) -> Engine:
-        """A dataset built from run documents; exclusions stay out, labels are restored."""
-        docs = runs.documents(spark, root)
+    def of_runs(cls, spark: SparkSession, root: str, exclusions: DataFrame | None = None, label_log: DataFrame | None = None, run: str = "*/*") -> Engine:
+        """A dataset built from run documents, or from that of one run; exclusions stay out, labels are restored."""
+        docs = runs.documents(spark, root, run)
         records = runs.record_rows(docs)
         if exclusions is not None:
             records = labels.without_excluded(records, exclusions)
@@ -53,7 +53,8 @@ class Engine:
             df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
     def items(self, limit: int | None = 20, offset: int = 0, text_chars: int = 400, root: str | None = None, **filters) -> DataFrame:
-        return items.page(self.tables, Filters(**filters), limit, offset, text_chars, root)
+        """A page of 1 to MOST_ITEMS items."""
+        return items.page(self.tables, Filters(**filters), items.clamped(limit, items.MOST_ITEMS), offset, text_chars, root)
 
     def reclassified(self, version: str | None) -> Engine:
         """The engine with content types by today's rules, where version (that of the stored types) is another."""
@@ -73,7 +74,8 @@ class Engine:
         return runs.listed(self.tables.runs, keyword, limit)
 
     def label_queue(self, limit: int = 20, **which) -> DataFrame:
-        return labels.label_queue(self.tables, limit, **which)
+        """The first 1 to MOST_PAIRS pairs that need a label."""
+        return labels.label_queue(self.tables, items.clamped(limit, items.MOST_PAIRS), **which)
 
     def label_items(self, new: DataFrame) -> tuple[Engine, DataFrame]:
         """(the engine with the valid labels, the rejected ones with their errors)."""
@@ -81,9 +83,11 @@ class Engine:
         t = self.tables
         return Engine(Tables(t.items, t.sightings, t.runs, labels.upserted(t.labels, valid))), rejected
 
-    def exclude(self, item_ids: DataFrame, reason: str, at: str) -> DataFrame:
-        return labels.excluded(self.tables.sightings, item_ids, reason, at)
+    def exclude(self, item_ids: DataFrame, reason: str, at: str) -> tuple[Engine, DataFrame]:
+        """(the engine without the items, the exclusions to keep so that later imports leave them out too)."""
+        rows = labels.excluded(self.tables.sightings, item_ids, reason, at)
+        return Engine(labels.after_exclusion(self.tables, rows)), rows
 
-    def export(self, path: str, fmt: str, salt: bytes | None = None, **filters) -> str:
+    def export(self, path: str, fmt: str, salt: bytes | None = None, single: bool = False, **filters) -> str:
         f = Filters(**filters)
-        return export.export(items.newest_first(items.with_details(self.tables, items.filtered(self.tables, f), f.keyword)), path, fmt, salt)
+        return export.export(items.newest_first(items.with_details(self.tables, items.filtered(self.tables, f), f.keyword)), path, fmt, salt, single)

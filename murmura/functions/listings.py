@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions import fixed_values as V
+from murmura.functions.language import detect_language
 from murmura.functions.text import clean_text
 from murmura.functions.times import bind
 
@@ -80,12 +81,14 @@ def parse_page(text: Column) -> Column:
 def with_details(records: DataFrame, pages: DataFrame) -> DataFrame:
     """Listing records with what their pages(post_url, page_text, seller_name, seller_url) add.
 
-    The description joins the text; condition, location, seller and time are filled where missing.
+    The description joins the text, whose language is found anew where records have one; condition, location, seller
+    and time are filled where missing.
     """
     page = pages.select("post_url", parse_page(F.col("page_text")).alias("_p"), "seller_name", "seller_url").dropDuplicates(["post_url"])
     rows = records.join(page, "post_url", "left")
     described = F.concat_ws("\n", F.nullif("text", F.lit("")), "_p.description")
-    return rows.withColumns({
+    out = rows.withColumns({
         "text": F.when(F.col("_p.description").isNotNull(), described).otherwise(F.col("text")), "condition": F.coalesce("condition", "_p.condition"), "location": F.coalesce("location", "_p.location"),
         "author_name": F.coalesce("author_name", "seller_name"), "author_url": F.coalesce("author_url", "seller_url"), "time_text": F.coalesce("time_text", "_p.listed_text"),
     }).drop("_p", "seller_name", "seller_url")
+    return out.withColumn("language", detect_language(F.col("text"))) if "language" in records.columns else out

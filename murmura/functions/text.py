@@ -23,7 +23,9 @@ _EDGE = "_\\p{L}\\p{N}"
 
 @F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
-    return pd.Series([v if v is None else unicodedata.normalize("NFKC", v) for v in values], dtype=object)
+    codes, distinct = pd.factorize(values)
+    made = [*[unicodedata.normalize("NFKC", v) for v in distinct], None]  # a null's code is -1
+    return pd.Series([made[k] for k in codes], dtype=object)
 
 
 def nfkc(text: Column) -> Column:
@@ -101,6 +103,13 @@ def group_name_from_title(title: Column) -> Column:
     return F.substring(F.get(telling, F.lit(0)), 1, 200)
 
 
+def body_text(text: Column, nested: Column, names: Column) -> Column:
+    """A post's own text: without the texts nested in it (comments, shared posts) and the names it links to."""
+    order = F.array_sort(F.filter(nested, lambda n: F.trim(n) != ""), lambda a, b: F.length(b) - F.length(a))
+    own = F.aggregate(F.coalesce(order, F.array().cast("array<string>")), text, lambda done, part: F.replace(done, part, F.lit("\n")))
+    return clean_text(F.regexp_replace(without_names(own, F.coalesce(names, F.array().cast("array<string>"))), r"\n\s*\n+", "\n"))
+
+
 def without_names(text: Column, names: Column) -> Column:
     """Text with each linked name replaced by a line break, longest names first."""
     order = F.array_sort(F.filter(names, lambda n: n != ""), lambda a, b: F.length(b) - F.length(a))
@@ -121,18 +130,16 @@ def plain_normalize(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", text or "").translate(gone).split())
 
 
-def clean_keyword(keyword: str) -> str:
-    return plain_normalize(keyword).strip("\"'“”‘’ ")
+_QUOTES = "\"'“”‘’ "
 
 
-def terms_for(keyword: str, mode: str = "phrase") -> list[str]:
-    """The terms to look for: the whole keyword, or its distinct words."""
+def keyword_terms(keyword: str, mode: str = "phrase") -> list[str]:
+    """The terms that a keyword without its quotes asks for: itself, or its words, each once; none for a blank one."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
-    cleaned = clean_keyword(keyword)
-    if mode == "phrase":
-        return [cleaned] if cleaned else []
-    return list(dict.fromkeys(cleaned.split()))
+    whole = plain_normalize(keyword).strip(_QUOTES)
+    words: dict[str, None] = {whole: None} if mode == "phrase" else {w: None for w in whole.split()}
+    return [w for w in words if w]
 
 
 def term_pattern(term: str) -> str:
@@ -156,7 +163,7 @@ def match_keyword(keyword: str, text: Column, mode: str = "phrase", context: int
 
     The snippet shows context characters on either side of the earliest match, with an ellipsis on cut sides.
     """
-    terms = terms_for(keyword, mode)
+    terms = keyword_terms(keyword, mode)
     if not terms:
         return F.struct(F.lit(False).alias("ok"), F.array().cast("array<string>").alias("matched_terms"), F.lit(None).cast("string").alias("snippet"))
     normal = normalize(text)
@@ -175,7 +182,7 @@ def match_keyword(keyword: str, text: Column, mode: str = "phrase", context: int
 
 def matches(keyword: str, text: Column, mode: str = "phrase") -> Column:
     """Whether a keyword matches, without terms and snippet."""
-    terms = terms_for(keyword, mode)
+    terms = keyword_terms(keyword, mode)
     if not terms:
         return F.lit(False)
     normal = normalize(text)

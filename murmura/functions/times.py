@@ -34,6 +34,12 @@ _MONTH = "|".join(sorted(_MONTH_OF, key=lambda n: (-len(n), n)))
 _CLOCK = r"(?<![\d:.])(\d{1,2})[:.](\d{2})(?::\d{2}(?:\.\d+)?)?\s*([ap]\.?m)?(?![\d])"
 
 
+def utc_second(text: Column) -> Column:
+    """Seconds since 1970 of an ISO moment; without a zone it is UTC, whatever the session's zone; else null."""
+    plain = F.trim(text)
+    return F.unix_seconds(F.try_to_timestamp(F.when(plain.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$"), plain).otherwise(F.concat(plain, F.lit("Z")))))
+
+
 def _map(values: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
@@ -163,8 +169,8 @@ def called_minute(text: Column, now: Column) -> Column:
 
 
 _SPANISH = "enero febrero marzo abril mayo junio julio agosto septiembre setiembre octubre noviembre diciembre".split()
-_ENGLISH_MONTHS = {name: number for name, number in _MONTH_OF.items() if name.isascii() and name not in _SPANISH}
-_ENGLISH = "|".join(sorted(_ENGLISH_MONTHS, key=lambda n: (-len(n), n)))
+ENGLISH_MONTHS = {name: number for name, number in _MONTH_OF.items() if name.isascii() and name not in _SPANISH}
+_ENGLISH = "|".join(sorted(ENGLISH_MONTHS, key=lambda n: (-len(n), n)))
 _EXACT_CLOCK = r"(?<![\p{L}\p{N}_])(\d{1,2})[:.](\d{2})(?:\s*([ap])\.?\s?m(?![\p{L}\p{N}_])\.?)?"
 
 
@@ -189,7 +195,7 @@ def _label_date(text: Column, default_year: Column) -> tuple[Column, Column]:
     """(day number, whether a year is written) of a month name with a day and perhaps a year."""
     rest = F.regexp_replace(text, _EXACT_CLOCK, " ")
     year_text = group(rest, r"(?<![\p{L}\p{N}_])((?:19|20)\d{2})(?![\p{L}\p{N}_])", 1)
-    month = F.try_element_at(_map(_ENGLISH_MONTHS), group(rest, rf"(?<![a-z])({_ENGLISH})(?![a-z])", 1))
+    month = F.try_element_at(_map(ENGLISH_MONTHS), group(rest, rf"(?<![a-z])({_ENGLISH})(?![a-z])", 1))
     rest = F.regexp_replace(rest, r"(?<![\p{L}\p{N}_])(?:19|20)\d{2}(?![\p{L}\p{N}_])", " ")
     day = whole(group(rest, r"(?<![\p{L}\p{N}_])(\d{1,2})(?:st|nd|rd|th)?(?![\p{L}\p{N}_])", 1))
     year = F.coalesce(whole(year_text), default_year)
@@ -258,7 +264,7 @@ def resolve(time_exact: Column, time_text: Column, captured_at: Column, offset:
     default_offset, the same on every machine.
     """
     zone = F.coalesce(offset.cast("int"), F.lit(default_offset))
-    captured = F.unix_seconds(F.try_to_timestamp(captured_at))
+    captured = utc_second(captured_at)
     exact = parse_exact(time_exact)
     relative = parse_relative(time_text, captured + zone * 60)
     source = F.when(exact.isNotNull(), "time_exact").when(relative.isNotNull(), "time_text")

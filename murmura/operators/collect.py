@@ -12,17 +12,19 @@ from murmura.operators.items import parse_types
 EXAMPLES = 50
 
 
-def judged(candidates: DataFrame, keyword: str, mode: str = "phrase", with_names: bool = False) -> DataFrame:
+def judged(candidates: DataFrame, keyword: str, mode: str = "phrase", with_names: bool = False, search: str | None = None) -> DataFrame:
     """Candidates with search_rank, matched_in, match, content_type and content_reason.
 
     candidates has position, url_key, kind, text, full_text, image_text, name_text, author_name. The rank counts
     distinct candidates in their order; a comment is verified in its own text only, a listing in its title, a
-    profile card by its name.
+    profile card by its name. search names the column that tells searches apart; each is ranked on its own. Without
+    it candidates are those of one search, which a page shows some hundreds of.
     """
+    searches = [search] if search else []
     key = F.coalesce("url_key", text_key(F.col("text")))
-    first = Window.partitionBy("_key").orderBy("position")
+    first = Window.partitionBy(*searches, "_key").orderBy("position")
     rows = candidates.withColumn("_key", key).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_key")
-    rows = rows.withColumn("search_rank", F.row_number().over(Window.orderBy("position")))
+    rows = rows.withColumn("search_rank", F.row_number().over(Window.partitionBy(*(searches or [F.lit(0)])).orderBy("position")))
     fields = ["text", "full_text", "image_text"] + ["name_text"] * with_names
     anywhere = verified_in(keyword, {f: F.col(f) for f in fields}, mode)
     own = verified_in(keyword, {"text": F.col("text")}, mode)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import fixed_values as V
 from murmura.functions.text import ascii_lower, contains_like, truncated
+from murmura.session import cut
 
 #: Columns of an item page and of an export, in order.
 ITEM_COLUMNS = (
@@ -18,6 +19,15 @@ ITEM_COLUMNS = (
 ).split()
 
 
+#: Most rows of a page that a caller may ask for, and most pairs of a label queue.
+MOST_ITEMS, MOST_PAIRS = 500, 50
+
+
+def clamped(n: int | None, most: int) -> int:
+    """n from 1 to most; None asks for as many as there may be."""
+    return most if n is None else max(1, min(int(n), most))
+
+
 def split_list(value: str | Iterable[str] | None) -> list[str]:
     """A comma string or a list without blanks and empties."""
     if not value:
@@ -135,9 +145,16 @@ def label_strings(labels: DataFrame, keyword: str | None = None) -> DataFrame:
     )
 
 
-def with_details(t: Tables, items: DataFrame, keyword: str | None = None) -> DataFrame:
-    """Items with their keywords and label strings."""
-    out = items.join(keywords_per_item(t.sightings), "item_id", "left").join(label_strings(t.labels, keyword), "item_id", "left")
+def with_details(t: Tables, items: DataFrame, keyword: str | None = None, few: bool = False) -> DataFrame:
+    """Items with their keywords and label strings.
+
+    few: items is a page of MOST_ITEMS rows at most; only its rows of the other tables are aggregated.
+    """
+    sightings, labels = t.sightings, t.labels
+    if few:
+        ids = F.broadcast(items.select("item_id"))
+        sightings, labels = (df.join(ids, "item_id", "left_semi") for df in (sightings, labels))
+    out = items.join(keywords_per_item(sightings), "item_id", "left").join(label_strings(labels, keyword), "item_id", "left")
     return out.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
@@ -154,7 +171,7 @@ def page(t: Tables, f: Filters, limit: int | None = 20, offset: int = 0, text_ch
     chosen = newest_first(filtered(t, f))
     if limit:
         chosen = chosen.offset(max(offset, 0)).limit(limit)
-    out = with_details(t, chosen, f.keyword).withColumn("text", truncated(F.col("text"), text_chars))
+    out = with_details(t, chosen, f.keyword, few=bool(limit) and limit <= MOST_ITEMS).withColumn("text", truncated(F.col("text"), text_chars))
     if root:
         out = out.withColumn("screenshot_file", F.concat(F.lit(root.rstrip("/") + "/"), F.nullif("screenshot_path", F.lit(""))))
     return newest_first(out).drop("url_key", "content_key")
@@ -222,14 +239,37 @@ def seen_spans(sightings: DataFrame) -> DataFrame:
     )
 
 
+def counted(items: DataFrame) -> DataFrame:
+    """part, value, n, first_seen, last_seen, seen_more_than_once, undated: totals and facets in one pass.
+
+    The total is the part ``totals``; null values count as ``unknown``, but an item without a group is in no group.
+    """
+    month = F.substring("posted_date", 1, 7)
+    parts = {"totals": F.lit(""), "by_kind": F.col("kind"), "by_language": F.col("language"), "by_month": month, "top_groups": F.col("group_name")}
+    each = F.array(*[F.struct(F.lit(p).alias("part"), (v if p == "top_groups" else F.coalesce(v, F.lit("unknown"))).alias("value")) for p, v in parts.items()])
+    rows = items.select("first_seen", "last_seen", "times_seen", "posted_date", F.explode(each).alias("p")).select("p.*", "first_seen", "last_seen", "times_seen", "posted_date").where("value is not null")
+    return rows.groupBy("part", "value").agg(
+        F.count("*").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.count_if(F.col("times_seen") > 1).alias("seen_more_than_once"), F.count_if(F.col("posted_date").isNull()).alias("undated"),
+    )
+
+
 def statistics(t: Tables, f: Filters) -> dict[str, DataFrame]:
-    """The statistics bundle, one DataFrame per part."""
+    """The statistics bundle, one DataFrame per part; totals and facets come from one pass over the items."""
     items = filtered(t, f)
+    once = cut(counted(items))
+
+    def part(name: str) -> DataFrame:
+        return once.where(F.col("part") == name).select("value", "n").orderBy(F.desc("n"), "value")
+
     runs = t.runs.where(keyword_is(F.col("keyword"), f.keyword)) if f.keyword else t.runs
     return {
-        "totals": totals(items), "runs": runs.agg(F.count("*").alias("runs")),
-        "by_kind": facet(items, "kind"), "by_language": facet(items, "language"), "by_month": by_month(items),
+        "totals": once.where("part = 'totals'").agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seen_more_than_once", "undated")],
+        ),
+        "runs": runs.agg(F.count("*").alias("runs")), "by_kind": part("by_kind"), "by_language": part("by_language"), "by_month": part("by_month").orderBy("value"),
         "by_keyword": by_keyword(items, t.sightings), "by_sentiment": by_sentiment(items, t.labels, f.keyword),
-        "top_groups": facet(items.where("group_name is not null"), "group_name", 10),
+        "top_groups": part("top_groups").limit(10),
         "not_labelled": not_labelled(items, t.labels, f.keyword).agg(F.count("*").alias("items")), "hidden": hidden(t, f),
     }

@@ -90,6 +90,13 @@ def excluded(sightings: DataFrame, item_ids: DataFrame, reason: str, at: str) ->
     return rows.select("run_id", "record_id", "item_id", "keyword", F.lit(reason.strip()).alias("reason"), F.lit(at).alias("excluded_at"))
 
 
+def after_exclusion(t: Tables, exclusions: DataFrame) -> Tables:
+    """The tables without excluded sightings; an item that has none left goes with its labels, runs stay as they are."""
+    kept = without_excluded(t.sightings, exclusions)
+    gone = t.sightings.select("item_id").join(kept.select("item_id"), "item_id", "left_anti").distinct()
+    return Tables(t.items.join(gone, "item_id", "left_anti"), kept, t.runs, t.labels.join(gone, "item_id", "left_anti"))
+
+
 def without_excluded(sightings: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Sightings whose (run_id, record_id) is not excluded."""
     return sightings.join(exclusions.select("run_id", "record_id"), ["run_id", "record_id"], "left_anti")

@@ -32,8 +32,7 @@ def posting_times(items: DataFrame, runs: DataFrame) -> DataFrame:
     ).dropDuplicates(["_run"])
     spans = zones.interval_table(run_side.select("zone"))
     rows = items.select("item_id", F.col("first_run_id").alias("_run"), "first_seen", *STATED).join(run_side, "_run", "left")
-    seen = F.try_to_timestamp(F.regexp_replace("first_seen", "Z$", "")).cast("double")
-    rows = rows.select("item_id", "zone", "fixed", F.floor(seen / 60).alias("seen"), *[times.tidy(F.col(c)).alias(c) for c in STATED])
+    rows = rows.select("item_id", "zone", "fixed", F.floor(times.utc_second(F.col("first_seen")) / 60).alias("seen"), *[times.tidy(F.col(c)).alias(c) for c in STATED])
     # One lambda over the three fields keeps the parser once in the plan; three inlined copies would exceed the
     # size of a generated method.
     rows = rows.select("item_id", "zone", "fixed", "seen", "time_text", F.transform(F.array(*STATED), times.stated_minute).alias("read"))

@@ -237,49 +237,12 @@ def lang_confusion(spark, d):
     return rows.groupBy("lang", "language").agg(F.count("*").alias("n"))
 
 
-@query()
-def content_type(spark, d):
-    t = tables(spark, d)
-    rows = t.items.join(I.keywords_per_item(t.sightings), "item_id", "left")
-    c = content.classify(*[F.col(n) for n in ("text", "image_text", "author_name", "keywords", "kind")])
-    rows = spread(rows.select("item_id", "text", "image_text", "author_name", "keywords", "kind"))
-    return rows.select("item_id", c.alias("c")).select("item_id", "c.content_type", "c.content_reason")
-
 
 # Times and URLs
 
 
-@query()
-def posted_resolved(spark, d):
-    rows = table(spark, d, "items").join(table(spark, d, "runs").select("run_id", "browser_utc_offset_minutes"), F.col("first_run_id") == F.col("run_id"), "left")
-    when = times.resolve(F.col("time_exact"), F.col("time_text"), F.col("first_seen"), F.col("browser_utc_offset_minutes"))
-    return rows.select("item_id", when.alias("w")).select("item_id", "w.*")
-
-
-_REL = "regexp_matches(lower(trim(time_text)), '^(about |over |almost |more than )?([0-9]+|an?|one) ?(s|sec|secs|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|wks?|weeks?)( ago)?$')"
-_UNIT = "regexp_extract(lower(trim(time_text)), '([a-z])[a-z]*( ago)?$', 1)"
 
 
-@query(
-    f"SELECT item_id, strftime(to_timestamp(floor((epoch(cast(replace(first_seen, 'Z', '') AS TIMESTAMP)) - cast(regexp_extract(time_text, '([0-9]+)', 1) AS BIGINT) * CASE {_UNIT} WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 ELSE 604800 END) / 60) * 60) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS posted "
-    f"FROM items WHERE {_REL}"
-)
-def rel_time_parse(spark, d):
-    seen = F.unix_seconds(F.try_to_timestamp("first_seen"))
-    label = r"(?i)^(about |over |almost |more than )?([0-9]+|an?|one) ?(s|sec|secs|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|wks?|weeks?)( ago)?$"
-    parsed = times.parse_relative(F.col("time_text"), seen)
-    return table(spark, d, "items").where(F.trim("time_text").rlike(label)).select("item_id", F.date_format(F.timestamp_seconds(parsed["minute"] * 60), "yyyy-MM-dd HH:mm").alias("posted"))
-
-
-@query(
-    "SELECT item_id, strftime(try_strptime(regexp_extract(time_exact, '([0-9]{1,2} [A-Z][a-z]+ [0-9]{4})', 1), '%d %B %Y'), '%Y-%m-%d') AS posted_date FROM items "
-    "WHERE regexp_matches(time_exact, '^[A-Z][a-z]+ [0-9]{1,2} [A-Z][a-z]+ [0-9]{4} at [0-9]{1,2}:[0-9]{2}$')"
-)
-def exact_time_parse(spark, d):
-    parsed = times.parse_exact(F.col("time_exact"))
-    rows = table(spark, d, "items").where(F.col("time_exact").rlike("^[A-Z][a-z]+ [0-9]{1,2} [A-Z][a-z]+ [0-9]{4} at [0-9]{1,2}:[0-9]{2}$"))
-    return rows.select("item_id", F.date_format(F.timestamp_seconds(parsed["minute"] * 60), "yyyy-MM-dd").alias("posted_date"))
-
 
 @query("SELECT item_id, regexp_replace(post_url, '#.*$', '') AS post_url, regexp_extract(post_url, '^https?://([^/?#]+)', 1) AS host, nullif(regexp_extract(post_url, '[?&]fbid=([^&#]*)', 1), '') AS fbid FROM items WHERE post_url IS NOT NULL")
 def url_parts(spark, d):
@@ -443,11 +406,6 @@ def label_queue_remaining(spark, d):
     return L.remaining(tables(spark, d))
 
 
-@query("SELECT item_id, lower(keyword) AS keyword, arg_max(sentiment, (coalesce(labeled_at, ''), sentiment)) AS sentiment FROM labels GROUP BY item_id, lower(keyword)")
-def label_upsert(spark, d):
-    labels = table(spark, d, "labels")
-    return L.upserted(labels.limit(0), labels).select("item_id", F.lower("keyword").alias("keyword"), "sentiment")
-
 
 @query("SELECT item_id, count(*) AS n FROM sightings s WHERE NOT EXISTS (SELECT 1 FROM exclusions e WHERE e.run_id = s.run_id AND e.record_id = s.record_id) GROUP BY item_id")
 def exclusions_anti(spark, d):
@@ -459,10 +417,6 @@ def runs_listed(spark, d):
     return R.listed(table(spark, d, "runs")).select("run_id", "keyword", "started_at")
 
 
-@query("SELECT run_id, coalesce(status, '') = 'completed' AS ok, records FROM runs")
-def run_summaries(spark, d):
-    return R.summaries(table(spark, d, "runs")).select("run_id", "ok", "records")
-
 
 @query("SELECT run_id, record_id, item_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY search_rank NULLS LAST, record_id, item_id) AS rank FROM (SELECT DISTINCT run_id, record_id, item_id, search_rank FROM sightings WHERE keyword_verified)) WHERE rank <= 10")
 def verified_top(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.functions import fixed_values as V
-from murmura.functions.text import MODES, clean_keyword
+from murmura.functions.text import MODES, keyword_terms
 
 MOST_SEARCHES = 50
 _GROUP = re.compile(rf"https?://(?:[\w-]+\.)*(?:{'|'.join(map(re.escape, V.SITE_HOSTS))})(?::\d*)?/+groups/+([^/?#]+)", re.I)
@@ -47,9 +47,8 @@ class Study:
     def validated(self) -> Study:
         """The study with distinct keywords (first spelling) and groups (by root); ValueError names what is wrong."""
         seen: dict[str, str] = {}
-        for k in map(clean_keyword, self.keywords):
-            if k:
-                seen.setdefault(k.lower(), k)
+        for k in (term for keyword in self.keywords for term in keyword_terms(keyword)):
+            seen.setdefault(k.lower(), k)
         roots = [_group_address(g) for g in self.groups]
         problems = {
             "a study needs a name": not (self.name or "").strip(), "a study needs keywords": not seen, "a group URL is none": None in roots,
@@ -73,9 +72,16 @@ class Study:
         plan = spark.createDataFrame([(n, *r) for n, r in enumerate(rows, 1)], "search INT, keyword STRING, scope STRING, group_url STRING")
         return plan.withColumn("comments", F.lit(self.include_comments) & (F.col("scope") != "marketplace"))
 
-    def estimated_minutes(self, seconds_per_result: float = 5.0) -> float:
+    def estimated_minutes(self, seconds_per_result: float = 15.0) -> int:
+        """A search takes its results' time and a minute, max_minutes_per_search at most; between two there is a pause."""
         searches = len(self.keywords) * len(self.scopes())
-        return searches * (self.max_results * seconds_per_result + sum(self.pause_seconds) / 2) / 60
+        each = min(self.max_minutes_per_search, self.max_results * seconds_per_result / 60 + 1)
+        return round(searches * each + max(searches - 1, 0) * sum(self.pause_seconds) / 2 / 60)
+
+    def described(self) -> dict:
+        """name, searches, plan (keyword and where) and estimated_minutes, to be confirmed before anything runs."""
+        plan = [{"keyword": k, "scope": group or scope} for k in self.keywords for scope, group in self.scopes()]
+        return {"name": self.name, "searches": len(plan), "plan": plan, "estimated_minutes": self.estimated_minutes()}
 
 
 def plan_of(keywords: DataFrame, scopes: DataFrame) -> DataFrame:

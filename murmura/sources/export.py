@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.identity import pseudonym
-from murmura.functions.text import plain_normalize
 from murmura.operators.items import ITEM_COLUMNS
+from murmura.sources.writer import slug_of
 
 FORMATS = ("csv", "jsonl", "parquet")
 URL_COLUMNS = ("author_url", "group_url", "post_url", "comment_url", "parent_post_url")
@@ -26,16 +26,14 @@ def anonymous(items: DataFrame, salt: bytes) -> DataFrame:
 
 
 def default_path(root: str, fmt: str, keyword: str | None = None, anonymize: bool = False) -> str:
-    import re
+    return f"{root}/_exports/items_{slug_of(keyword) if keyword else 'all'}_{datetime.now(UTC):%Y%m%d-%H%M%S}{'_anon' if anonymize else ''}.{fmt}"
 
-    slug = re.sub(r"[^\w]+", "-", plain_normalize(keyword).lower()).strip("-_")[:60] if keyword else "all"
-    return f"{root}/_exports/items_{slug or 'keyword'}_{datetime.now(UTC):%Y%m%d-%H%M%S}{'_anon' if anonymize else ''}.{fmt}"
 
-
-def export(items: DataFrame, path: str, fmt: str, salt: bytes | None = None, single: bool = True) -> str:
+def export(items: DataFrame, path: str, fmt: str, salt: bytes | None = None, single: bool = False) -> str:
     """Writes detailed items in the column order of ITEM_COLUMNS; with a salt, anonymously. Returns the path.
 
-    single writes one file, for tools that expect one; leave it off where the data is large.
+    single writes one file, for tools that expect one: all rows then go through one task, so ask for it only where
+    the data is small.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known: {', '.join(FORMATS)}")

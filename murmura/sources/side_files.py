@@ -36,13 +36,19 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_side_file(df: DataFrame, path: str, name: str) -> None:
-    """Hand-made entries as one readable JSON file, written whole and then moved into place."""
-    entries = [r.asDict(recursive=True) for r in df.collect()]
-    for e in entries:
-        if e.get("refs"):
-            e["refs"] = [[r["run_id"], r["record_id"]] for r in e["refs"]]
+    """Hand-made entries as one readable JSON file, written whole and then moved into place.
+
+    Entries stream through the driver one partition at a time; none are kept there.
+    """
     part = Path(f"{path}.part")
-    part.write_text(json.dumps({"about": f"{name} set by hand", name: entries}, ensure_ascii=False, indent=1), encoding="utf-8")
+    with part.open("w", encoding="utf-8") as out:
+        out.write(f'{{"about": {json.dumps(f"{name} set by hand")}, {json.dumps(name)}: [')
+        for k, row in enumerate(df.toLocalIterator()):
+            e = row.asDict(recursive=True)
+            if e.get("refs"):
+                e["refs"] = [[r["run_id"], r["record_id"]] for r in e["refs"]]
+            out.write((",\n" if k else "\n") + json.dumps(e, ensure_ascii=False))
+        out.write("\n]}")
     part.replace(path)
 
 

@@ -8,6 +8,7 @@ equals that of a rebuild with the new runs last.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from murmura.operators import entity
 from murmura.operators.labels import without_excluded
 from murmura.session import cut
 from murmura.sources import runs as source
+from murmura.streaming.progress import Progress
 
 
 def stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -97,10 +99,17 @@ class Ingest:
             path = hadoop(f"{self.state}/{name}/part={part}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def run(self, root: str) -> None:
-        """Takes in everything new under root and stops."""
+    def run(self, root: str, tell: Callable[[str, int], None] | None = None) -> None:
+        """Takes in everything new under root and stops; tell(message, documents so far) hears of its progress."""
+        listener = Progress(tell) if tell else None
+        if listener:
+            self.spark.streams.addListener(listener)
         query = stream(self.spark, root).writeStream.foreachBatch(self.add).option("checkpointLocation", f"{self.state}/_progress").trigger(availableNow=True).start()
-        query.awaitTermination()
+        try:
+            query.awaitTermination()
+        finally:
+            if listener:
+                self.spark.streams.removeListener(listener)
 
 
 def run_folders(root: str) -> list[str]:

@@ -91,7 +91,8 @@ def test_two_runs(spark, root):
     page = engine.items(limit=2, text_chars=10).collect()
     assert len(page) == 2 and page[0].posted_at is not None and page[0].text == "The garden…" and page[0].keywords == ["garden hose"]
     assert engine.runs().count() == 2
-    excluded = engine.exclude(engine.tables.items.where("url_key = 'url:/groups/77/posts/5/'"), "off topic", "2026-03-05T00:00:00Z")
+    without, excluded = engine.exclude(engine.tables.items.where("url_key = 'url:/groups/77/posts/5/'"), "off topic", "2026-03-05T00:00:00Z")
+    assert without.count(include_types="all") == engine.count(include_types="all") - 1 and without.tables.items.where("url_key = 'url:/groups/77/posts/5/'").isEmpty()
     assert Engine.of_runs(spark, str(root / "runs"), exclusions=excluded).tables.items.count() == 3
     with pytest.raises(ValueError, match="reason"):
         engine.exclude(engine.tables.items, " ", "")

@@ -39,7 +39,7 @@ def test_snippet_and_partial_terms(spark):
     assert found["snippet"] == "…rden hose was …"
     assert one(spark, X.match_keyword("hose pump", F.col("t"), "all"), t="a hose")["matched_terms"] == ["hose"]
     with pytest.raises(ValueError, match="mode"):
-        X.terms_for("x", "fuzzy")
+        X.keyword_terms("x", "fuzzy")
 
 
 @pytest.mark.parametrize(
