@@ -42,22 +42,33 @@ def unreadable(docs: DataFrame) -> DataFrame:
     return docs.where("_corrupt is not null or run is null").select("path")
 
 
-def run_rows(docs: DataFrame) -> DataFrame:
-    """One row per run. Of several documents of one run, the first in path order gives what it was asked,
-    the last what came of it. A missing run_id is the folder's name."""
+_ASKED = ["keyword", "scope", "group_url", "match_mode", "version", "batch_id", "browser_timezone", "browser_utc_offset_minutes", "started_at"]
+_CAME = ["status", "finished_at", "stats", "warnings"]
+
+
+def run_versions(docs: DataFrame) -> DataFrame:
+    """One row per readable document with what it says of its run, without its records."""
     folder = F.regexp_extract("path", r"([^/]+)/results\.json$", 1)
     relative = F.regexp_extract("path", r"([^/]+/[^/]+)/results\.json$", 1)
-    rows = docs.where("_corrupt is null and run is not null").select(
-        F.coalesce("run.run_id", folder).alias("run_id"), "path", "run", F.size(F.coalesce("results", F.array())).cast("bigint").alias("records"), relative.alias("run_dir")
+    return docs.where("_corrupt is null and run is not null").select(
+        F.coalesce("run.run_id", folder).alias("run_id"), "path", *[F.col(f"run.{c}").alias(c) for c in _ASKED + _CAME], F.size(F.coalesce("results", F.array())).cast("bigint").alias("records"), relative.alias("run_dir")
     )
-    asked = ["keyword", "scope", "group_url", "match_mode", "version", "batch_id", "browser_timezone", "browser_utc_offset_minutes", "started_at"]
-    came = ["status", "finished_at", "stats", "warnings"]
-    return rows.groupBy("run_id").agg(
-        *[F.min_by(f"run.{c}", "path").alias({"version": "tool_version"}.get(c, c)) for c in asked],
-        *[F.max_by(f"run.{c}", "path").alias(c) for c in came], F.max_by("run_dir", "path").alias("run_dir"), F.max_by("records", "path").alias("records"),
+
+
+def merged_runs(versions: DataFrame) -> DataFrame:
+    """One row per run. Of several documents of one run, the first in path order gives what it was asked,
+    the last what came of it. A missing run_id is the folder's name."""
+    return versions.groupBy("run_id").agg(
+        *[F.min_by(c, "path").alias({"version": "tool_version"}.get(c, c)) for c in _ASKED],
+        *[F.max_by(c, "path").alias(c) for c in _CAME], F.max_by("run_dir", "path").alias("run_dir"), F.max_by("records", "path").alias("records"),
     )
 
 
+def run_rows(docs: DataFrame) -> DataFrame:
+    """The runs of documents, one row each."""
+    return merged_runs(run_versions(docs))
+
+
 def record_rows(docs: DataFrame) -> DataFrame:
     """Records in import order: seq rises with the file's path and the place in it.
 

@@ -125,6 +125,29 @@ def test_stream_of_single_files_equals_rebuild(spark, root):
     assert state.read("sightings").count() == 7 and state.read("runs").count() == 3
 
 
+def test_a_crash_between_the_tables_shows_the_state_before(spark, root, monkeypatch):
+    state = Ingest(spark, str(root / "crash"), parts=3, slots=4)
+    docs = runs.documents(spark, str(root / "runs"))
+    first, *later = sorted(r.path for r in docs.select("path").collect())
+    state.add(docs.where(docs["path"] == first), 0)
+
+    def seen():
+        return [sorted(map(str, state.read(n).collect())) for n in ("items", "sightings")]
+
+    before = seen()
+    with monkeypatch.context() as m:
+        m.setattr(state, "_swap", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            state.add(docs.where(docs["path"].isin(later)), 1)
+    assert seen() == before
+    state.add(docs.where(docs["path"].isin(later)), 1)  # the stream takes the batch in again
+    batch = Engine.of_runs(spark, str(root / "runs"))
+    assert sorted(r.item_id for r in state.read("items").collect()) == sorted(r.item_id for r in batch.tables.items.collect())
+    after = seen()
+    state.add(docs.where(docs["path"].isin(later)), 1)
+    assert seen() == after
+
+
 def test_labels_and_export(spark, root):
     engine = Engine.of_runs(spark, str(root / "runs"))
     assert engine.label_queue().count() == 4
