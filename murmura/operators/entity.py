@@ -30,13 +30,14 @@ TIME_FIELDS = ("posted_at", "posted_date", "posted_at_precision", "posted_at_sou
 
 def repaired(records: DataFrame) -> DataFrame:
     """Records with canonical URLs, without interface labels in names, filler in texts and image words in times."""
-    out = records
-    for c in ("post_url", "comment_url", "parent_post_url", "author_url", "group_url"):
-        out = out.withColumn(c, F.when(F.col(c) != "", F.coalesce(urls.canonical_url(F.col(c)), F.col(c))).otherwise(F.col(c)))
+    def canonical(c: str) -> F.Column:
+        return F.when(F.col(c) != "", F.coalesce(urls.canonical_url(F.col(c)), F.col(c))).otherwise(F.col(c))
+
     label = F.coalesce(F.lower(F.trim("author_name")).isin(list(V.UI_LABELS)), F.lit(False))
     described = F.coalesce(F.lower(F.trim("time_text")).rlike("^(?:may be|no photo description)"), F.lit(False))
-    out = out.withColumns({
-        "author_url": F.when(~label, F.col("author_url")), "author_name": F.when(~label, F.col("author_name")),
+    out = records.withColumns({
+        **{c: canonical(c) for c in ("post_url", "comment_url", "parent_post_url", "group_url")},
+        "author_url": F.when(~label, canonical("author_url")), "author_name": F.when(~label, F.col("author_name")),
         "text": F.when(F.col("text") != "", X.clean_text(F.col("text"))).otherwise(F.col("text")), "time_text": F.when(~described, F.col("time_text")),
     })
     derived = F.when((F.col("kind") == "photo") & (F.col("group_url") != ""), urls.photo_group_post(F.col("post_url"), F.col("group_url")))
@@ -58,11 +59,14 @@ def keyed(records: DataFrame) -> DataFrame:
 def components(nodes: DataFrame) -> DataFrame:
     """seq, component of nodes(seq, key): records that share a key directly or through others share a component.
 
-    Smallest labels spread along keys and are then shortened through their own labels, so that a chain of n
-    records takes about log n rounds; each round is cut off in the shared folder.
+    A key that one record has alone connects nothing and is dropped first; records left without a key are components
+    of their own and take no part in the rounds. Smallest labels spread along keys and are then shortened through their
+    own labels, so that a chain of n records takes about log n rounds; each round is cut off in the shared folder.
     """
-    edges = cut(nodes.where("key is not null").distinct())
-    labels = cut(nodes.select("seq").distinct().withColumn("component", F.col("seq")))
+    pairs = nodes.where("key is not null").distinct()
+    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    edges = cut(pairs.join(shared.select("key"), "key", "left_semi").select("seq", "key"))
+    labels = cut(edges.select("seq").distinct().withColumn("component", F.col("seq")))
     while True:
         near = edges.join(labels, "seq").groupBy("key").agg(F.min("component").alias("least"))
         spread = edges.join(near, "key").groupBy("seq").agg(F.min("least").alias("least"))
@@ -70,7 +74,8 @@ def components(nodes: DataFrame) -> DataFrame:
         hop = step.select(F.col("seq").alias("c"), F.col("c").alias("next"))
         step = cut(step.join(hop, "c").select("seq", F.least("c", "next").alias("component"), "before"))
         if step.where("component <> before").isEmpty():
-            return step.select("seq", "component")
+            found = step.select("seq", "component")
+            return nodes.select("seq").distinct().join(found, "seq", "left").select("seq", F.coalesce("component", "seq").alias("component"))
         labels = step.select("seq", "component")
 
 
