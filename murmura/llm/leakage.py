@@ -7,7 +7,7 @@ the shingles of ``SHINGLE`` words that item and document share are chained in th
 the item words it adds, and the chain must cover at least ``COVER`` of the item's words.
 
 The windows are smaller than the items because a document may hold only half of an item with other text between
-its sentences; a window of an item's full length would then lie far from it.
+its sentences; a window of an item's full length would then lie far from it (the README has the figures).
 
 Defined results: null, empty and wordless texts match nothing; a document with fewer words than a window matches
 only through short items; an item shorter than a window matches where its words stand in a row; a repeated
@@ -32,6 +32,7 @@ RADIUS = 3
 SHINGLE = 3
 COVER = 0.5
 BLOCK_ITEMS = 20_000  # test items held at once; more are taken block by block
+BLOCK_CHARS = 32_000_000  # characters of them, likewise; a longer item is a block of its own
 CHUNK_WORDS = 150_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -205,12 +206,13 @@ def _index(stamp: str, items: list[tuple]) -> Index:
 def leaks(documents: DataFrame, held_out: DataFrame, key: str = "doc_id", text: str = "text", test_key: str = "test_id", test_text: str = "text") -> DataFrame:
     """key, test_key and coverage of every document row that holds at least COVER of a test item's words.
 
-    The test items are the stated query set. They are broadcast in blocks of at most about BLOCK_ITEMS; the
-    documents are read once per block and never shuffled.
+    The test items are the stated query set. They are broadcast in blocks of about BLOCK_ITEMS items and BLOCK_CHARS
+    characters; the documents are read once per block and never shuffled.
     """
     spark = documents.sparkSession
     tests = held_out.select(test_key, test_text)
-    blocks = tests.count() // BLOCK_ITEMS + 1
+    size = tests.agg(F.count("*"), F.coalesce(F.sum(F.length(test_text)), F.lit(0))).first()
+    blocks = max(size[0] // BLOCK_ITEMS, size[1] // BLOCK_CHARS) + 1
     kinds = dict(documents.dtypes)[key], dict(tests.dtypes)[test_key]
     rows = documents.select(key, text)
     parts = []
