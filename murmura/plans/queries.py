@@ -435,15 +435,11 @@ def comment_parent_key(spark, d):
 
 @query(
     "WITH k AS (SELECT row_number() OVER (ORDER BY keyword) AS keyword_position, keyword FROM (SELECT DISTINCT keyword FROM runs)), s AS (SELECT row_number() OVER (ORDER BY scope) AS scope_position, scope FROM (SELECT DISTINCT scope FROM runs)) "
-    "SELECT keyword_position, keyword, scope_position, scope FROM k, s WHERE keyword_position <= 50 AND scope_position <= 50"
+    "SELECT keyword_position, keyword, scope_position, scope FROM k, s"
 )
 def study_plan(spark, d):
     runs = table(spark, d, "runs")
-
-    def listed(name: str) -> DataFrame:
-        return runs.select(name).distinct().withColumn("position", F.row_number().over(Window.orderBy(F.asc_nulls_last(name))).cast("bigint")).orderBy("position")
-
-    return plan_of(listed("keyword"), listed("scope"))
+    return plan_of(*[R.ranked(runs.select(name).distinct(), [F.asc_nulls_last(name)]) for name in ("keyword", "scope")])
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import content, listings, times, urls
 from murmura.functions import fixed_values as V
+from murmura.functions import text as X
 from murmura.operators import collect, entity
 from murmura.operators import items as I
 from murmura.operators import labels as L
@@ -189,6 +190,32 @@ def entity_merge(spark, d) -> DataFrame:
     return items.select(F.col("item_id").alias("content_key"), "kind", *_FILLED, "screenshot_path", "text", F.coalesce("posted_at", F.lit("-")).alias("posted_at"))
 
 
+@query(
+    f"SELECT item_id, CASE WHEN length(p) >= 12 THEN 'ck_' || substr(sha1(CASE WHEN kind IN ('comment', 'reply') THEN 'comment|' || coalesce(parent_post_url, lower(coalesce(group_name, ''))) ELSE 'post|' || lower(coalesce(group_name, '')) END || '|' || p), 1, 16) END AS content_key "
+    f"FROM (SELECT item_id, coalesce(kind, '') AS kind, parent_post_url, group_name, substr(regexp_replace(lower({sql_normal('text')}), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 1, 160) AS p FROM items)"
+)
+def content_keys(spark, d) -> DataFrame:
+    """Content keys of posts by their group and of comments by the post they stand under."""
+    key = X.content_key(F.col("text"), F.col("kind"), F.col("group_name"), F.col("parent_post_url"))
+    return table(spark, d, "items").select("item_id", key.alias("content_key"))
+
+
+_REFS = "SELECT item_id, min(struct_pack(r := run_id, c := record_id)) AS ref FROM sightings GROUP BY item_id"
+
+
+@query(
+    f"WITH f AS ({_REFS}), v AS (SELECT run_id, record_id, min(item_id) AS via FROM sightings GROUP BY ALL), "
+    "l AS (SELECT CASE WHEN labels.sentiment = 'negative' THEN v.via ELSE labels.item_id END AS item_id, keyword, sentiment, labeled_at FROM labels LEFT JOIN f USING (item_id) LEFT JOIN v ON v.run_id = f.ref.r AND v.record_id = f.ref.c WHERE labels.item_id IN (SELECT item_id FROM items)) "
+    "SELECT item_id, lower(keyword) AS keyword, sentiment FROM (SELECT *, row_number() OVER (PARTITION BY item_id, lower(keyword) ORDER BY labeled_at DESC NULLS LAST, sentiment) AS k FROM l WHERE item_id IS NOT NULL) WHERE k = 1"
+)
+def labels_restored(spark, d) -> DataFrame:
+    """Labels after a rebuild that lost the ids of all items with a negative one: those come back by their refs."""
+    t = tables(spark, d)
+    refs = t.sightings.groupBy("item_id").agg(F.array(F.min(F.struct("run_id", "record_id"))).alias("refs"))
+    log = t.labels.join(refs, "item_id", "left").withColumn("item_id", F.when(F.col("sentiment") == "negative", F.concat(F.lit("lost_"), "item_id")).otherwise(F.col("item_id")))
+    return L.restored(log, t.items, t.sightings).select("item_id", F.lower("keyword").alias("keyword"), "sentiment")
+
+
 # Times
 
 _EN = {m: n for m, n in times.ENGLISH_MONTHS.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.functions.text import slugify
+from murmura.session import cut
 
 RUN = (
     "tool STRING, version STRING, run_id STRING, keyword STRING, scope STRING, group_url STRING, group_name STRING, match_mode STRING, source STRING, batch_id STRING, "
@@ -89,6 +90,23 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
 
 
+def ranked(rows: DataFrame, order: list[Column | str], name: str = "position") -> DataFrame:
+    """rows with their place in order, from 1 on without gaps; equal rows are told apart by nothing.
+
+    Ranges are sorted side by side; only their sizes, one number a partition, come to the driver.
+    """
+    sorted_rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id()))
+    ranges = sorted(sorted_rows.groupBy(F.shiftright("_n", 33).alias("p")).agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for p, n in ranges:
+        starts += [F.lit(p), F.lit(before)]
+        before += n
+    if not starts:
+        return sorted_rows.withColumn(name, F.lit(0).cast("bigint")).drop("_n")
+    start = F.element_at(F.create_map(*starts), F.shiftright("_n", 33))
+    return sorted_rows.withColumn(name, (start + F.col("_n").bitwiseAND((1 << 33) - 1) + 1).cast("bigint")).drop("_n")
+
+
 def listed(runs: DataFrame, keyword: str | None = None, limit: int = 20) -> DataFrame:
     """Runs newest first, of one keyword by its slug if given; a run without a start comes last."""
     if keyword is not None:

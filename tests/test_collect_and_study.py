@@ -107,3 +107,11 @@ def test_plans_of_long_lists_are_whole(spark):
     keywords = spark.createDataFrame([(k, f"word {k:02}") for k in range(1, 61)], "position bigint, keyword string")
     scopes = spark.createDataFrame([(k, f"scope {k:02}") for k in range(1, 53)], "position bigint, scope string")
     assert [tuple(r) for r in plan_of(keywords, scopes).collect()] == [(k, f"word {k:02}", s, f"scope {s:02}") for k in range(1, 61) for s in range(1, 53)]
+
+
+def test_ranks_have_no_gaps(spark):
+    from murmura.sources.runs import ranked
+
+    rows = spark.range(1000).selectExpr("id * 7919 % 1009 as x", "id").repartition(7)
+    assert [(r.x, r.position) for r in ranked(rows, ["x"]).orderBy("position").collect()] == [(x, k) for k, x in enumerate(sorted(n * 7919 % 1009 for n in range(1000)), 1)]
+    assert ranked(rows.limit(0), ["x"]).count() == 0
