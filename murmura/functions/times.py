@@ -28,9 +28,9 @@ WEEKDAYS = {
 }
 PRECISIONS = ("minute", "hour", "day", "week", "month", "year")
 
-_MONTH_OF = {name: number for number, names in MONTHS.items() for name in names.split()}
-_DAY_OF = {name: number for number, names in WEEKDAYS.items() for name in names.split()}
-_MONTH = "|".join(sorted(_MONTH_OF, key=lambda n: (-len(n), n)))
+MONTH_OF = {name: number for number, names in MONTHS.items() for name in names.split()}
+DAY_OF = {name: number for number, names in WEEKDAYS.items() for name in names.split()}
+_MONTH = "|".join(sorted(MONTH_OF, key=lambda n: (-len(n), n)))
 _CLOCK = r"(?<![\d:.])(\d{1,2})[:.](\d{2})(?::\d{2}(?:\.\d+)?)?\s*([ap]\.?m)?(?![\d])"
 
 
@@ -86,7 +86,7 @@ def clock_minute(text: Column) -> Column:
 
 
 def month_number(text: Column) -> Column:
-    return F.try_element_at(_map(_MONTH_OF), group(text, rf"(?<![\p{{L}}])({_MONTH})(?![\p{{L}}])", 1))
+    return F.try_element_at(_map(MONTH_OF), group(text, rf"(?<![\p{{L}}])({_MONTH})(?![\p{{L}}])", 1))
 
 
 def named_day(text: Column) -> Column:
@@ -150,7 +150,7 @@ def called_minute(text: Column, now: Column) -> Column:
     """
     today = F.floor(now / 1440)
     clock = clock_minute(text)
-    weekday = F.try_element_at(_map(_DAY_OF), group(text, rf"^({'|'.join(_DAY_OF)})(?![\p{{L}}])", 1))
+    weekday = F.try_element_at(_map(DAY_OF), group(text, rf"^({'|'.join(DAY_OF)})(?![\p{{L}}])", 1))
     back = (((today + 3) % 7 - weekday + 6) % 7) + 1
     year = F.year(F.timestamp_seconds(now * 60))
     month, day = month_number(text), named_day(text)
@@ -169,7 +169,7 @@ def called_minute(text: Column, now: Column) -> Column:
 
 
 _SPANISH = "enero febrero marzo abril mayo junio julio agosto septiembre setiembre octubre noviembre diciembre".split()
-ENGLISH_MONTHS = {name: number for name, number in _MONTH_OF.items() if name.isascii() and name not in _SPANISH}
+ENGLISH_MONTHS = {name: number for name, number in MONTH_OF.items() if name.isascii() and name not in _SPANISH}
 _ENGLISH = "|".join(sorted(ENGLISH_MONTHS, key=lambda n: (-len(n), n)))
 _EXACT_CLOCK = r"(?<![\p{L}\p{N}_])(\d{1,2})[:.](\d{2})(?:\s*([ap])\.?\s?m(?![\p{L}\p{N}_])\.?)?"
 
