@@ -80,7 +80,9 @@ _NAME_BEFORE = (
 _NAME_AFTER = r"from the \p{L}+ floor|sahab|sahib|sahiba|se baat|ne lagaya|ang nag|lo instal|has the keys|fitted it|saheb"
 _NAME_CUED = regex.compile(rf"(?:^|(?<=[\s(\"'“‘]))(?i:{_NAME_BEFORE}) {_NAME}(?![\p{{L}}])|(?:^|(?<![\p{{L}}])){_NAME} (?i:{_NAME_AFTER})(?![\p{{L}}])|(?:^|(?<![\p{{L}}])){_NAME} (?i:{_NAME_AFTER})")
 #: A surname before the given name, with what persons do after it.
-_NAME_TURNED = regex.compile(rf"(?:^|(?<=[\s(\"'“‘]))(?P<name>{_CAP}, {_CAP})(?= (?:called|said|says|came|phoned|wrote|lives|told|asked|works|sent|paid|signed|visited|answered)(?![\p{{L}}]))")
+_DEEDS = "called|said|says|came|phoned|wrote|lives|told|asked|works|sent|paid|signed|visited|answered"
+_NAME_TURNED = regex.compile(rf"(?:^|(?<=[\s(\"'“‘]))(?P<name>{_CAP}, {_CAP})(?= (?:{_DEEDS})(?![\p{{L}}]))")
+_TURNED_HINT = re.compile(rf", \S+ (?:{_DEEDS})\b")
 _NAME_HINT = regex.compile(rf"(?i)(?<![\p{{L}}])(?:{_NAME_BEFORE}|{_NAME_AFTER})")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pii_type", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -195,10 +197,10 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, float]]:
 
 
 def _names(text: str) -> Iterator[tuple[int, int, str, float]]:
-    for m in _NAME_TURNED.finditer(text):
+    for m in _NAME_TURNED.finditer(text) if _TURNED_HINT.search(text) else ():
         if not any(w.lower() in BUSINESS_WORDS or w.lower() in FUNCTION_WORDS for w in m["name"].split(", ")):
             yield *m.span("name"), "name", 0.8
-    for m in _NAME_CUED.finditer(text, overlapped=True):
+    for m in _NAME_CUED.finditer(text, overlapped=True) if _NAME_HINT.search(text) else ():
         start, end = m.span("name")
         words = m["name"].split()
         score = 0.9 - 0.5 * sum(w.lower().strip("'’-") in BUSINESS_WORDS or w.lower() in FUNCTION_WORDS for w in words)
@@ -222,7 +224,7 @@ def spans(text: str | None, types: tuple[str, ...] = TYPES) -> list[tuple[int, i
         found += _numbers(plain)
         if "address" in types:
             found += [(m.start(), m.end(), "address", 0.8) for m in _ADDRESS.finditer(plain)]
-    if "name" in types and (_NAME_HINT.search(plain) or ", " in plain):
+    if "name" in types:
         found += _names(plain)
     chosen: list[tuple[int, int, str, float]] = []  # in order, without overlap
     for span in sorted((s for s in found if s[3] >= ACCEPT and s[2] in types), key=lambda s: (-s[3], s[0] - s[1], s[0])):
