@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
@@ -37,14 +38,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a file beside its place and moves it there; an existing one is replaced in that one step."""
+def put_text(spark: SparkSession, path: str, *pieces: str | Iterable[str]) -> None:
+    """Writes a file of pieces of text beside its place and moves it there; an existing one is replaced in that one step."""
     fs = spark._jvm.org.apache.hadoop.fs
     target, part = fs.Path(path), fs.Path(f"{path}.part")
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     out = files.create(part, True)
     try:
-        out.write(bytearray(text.encode()))
+        for piece in pieces:
+            for text in [piece] if isinstance(piece, str) else piece:
+                out.write(bytearray(text.encode()))
     finally:
         out.close()
     option = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
@@ -52,6 +55,11 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(files.makeQualified(part), files.makeQualified(target), option)
 
 
+def get_text(spark: SparkSession, path: str) -> str:
+    """The text of one small file."""
+    return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
 class RunFolder:
     """One run's folder under root/<slug of the keyword>/<stamp>, with its growing document.
 

@@ -26,7 +26,7 @@ from murmura.operators import entity
 from murmura.operators.labels import without_excluded
 from murmura.session import cut, remove
 from murmura.sources import runs as source
-from murmura.sources.writer import exists, put_text
+from murmura.sources.writer import exists, get_text, put_text
 from murmura.streaming.progress import Progress
 
 RECORD = ["run_id", "record_id"]
@@ -68,7 +68,7 @@ class Ingest:
         path = f"{self.state}/manifest.json"
         if not exists(self.spark, path):
             return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(path).collect()))
+        return json.loads(get_text(self.spark, path))
 
     def _slot(self, *columns: str) -> Column:
         return F.pmod(F.hash(*columns), F.lit(self.slots))
